@@ -46,3 +46,13 @@ def components(edges: DataFrame, before: Stored | None = None) -> Stored:
     if before is not None:
         before.drop()
     return out
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """The documents with one row of each doc_id, that of the smallest text hash; rows with null doc_id stay."""
+    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.df.isEmpty():
+        repeated.drop()
+        return docs
+    once = sized_join(docs, repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("__row")).select("__row.*")
+    return sized_join(docs, repeated, "doc_id", "left_anti").unionByName(once)

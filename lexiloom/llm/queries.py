@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, quality, secret_scan
+from . import decontaminate, language, licenses, minhash, mixing, quality, ranked_search, secret_scan, suffixes, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,25 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return ranked_search.top_documents(_table(spark, sf_dir, "documents"), questions)
+
+
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -43,8 +67,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_quality, op4_decontamination, op9_near_duplicates, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_quality, op4_decontamination, op5_language, op6_toxicity, op7_ranked_search, op8_suffix_repeats, op9_near_duplicates, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_ranked_search": ranked_search.SQL, "op8_suffix_repeats": suffixes.SQL}
