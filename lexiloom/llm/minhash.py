@@ -146,23 +146,29 @@ def verify(pairs: Stored, docs: DataFrame, width: int, threshold: float) -> Stor
 
 def _settle(found: DataFrame, groups: Stored | None, docs: DataFrame, width: int, threshold: float) -> Stored | None:
     """Verify plausible pairs until all that are left lie within components; the components, as (doc_id, group_id)."""
-    left = stored(found, "plausible")
+    left, some = stored(found, "plausible"), 1
     while not left.df.isEmpty():
-        # of each document the likeliest pair: as many tests as documents, which join nearly all that belongs together
-        best = left.df.groupBy("b").agg(F.max(F.struct("same", "matches", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b", F.col("m.same").alias("same"))
+        # of each document the likeliest pair first: as many tests as documents, which join nearly all that
+        # belongs together; of what still lies between components ever more at a time
+        likeliest = Window.partitionBy("b").orderBy(F.desc("same"), F.desc("matches"), "a")
+        best = left.df.withColumn("nth", F.row_number().over(likeliest)).where(F.col("nth") <= some).select("a", "b", "same")
         tests = stored(best, "tests")
         open_ = stored(tests.df.where("NOT same").select("a", "b"), "open")
         edges = tests.df.where("same").select("a", "b")
         checked = None if open_.df.isEmpty() else verify(open_, docs, width, threshold)
-        groups = components(edges.union(checked.df) if checked else edges, groups)
-        g = groups.df
+        edges = edges.union(checked.df) if checked else edges
+        if not edges.isEmpty():
+            groups = components(edges, groups)
         rest = left.df.join(tests.df.select("a", "b"), ["a", "b"], "left_anti")
-        rest = rest.join(g.toDF("a", "ga"), "a", "left").join(g.toDF("b", "gb"), "b", "left").where("coalesce(ga, a) != coalesce(gb, b)").select("a", "b", "matches", "same")
-        after = stored(rest, "plausible")
+        if groups:
+            g = groups.df
+            rest = rest.join(g.toDF("a", "ga"), "a", "left").join(g.toDF("b", "gb"), "b", "left").where("coalesce(ga, a) != coalesce(gb, b)").select("a", "b", "matches", "same")
+        after, some = stored(rest, "plausible"), some * 16
         for x in (left, tests, open_, checked):
             if x:
                 x.drop()
         left = after
+    left.drop()
     return groups
 
 
