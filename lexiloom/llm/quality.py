@@ -43,6 +43,9 @@ def statistics(text: pa.Array) -> np.ndarray:
     symbols = n - upper - small - digit - wide - newline - blank - stops
     runs = np.zeros(len(data), bool)
     runs[2:] = (data[2:] == data[1:-1]) & (data[2:] == data[:-2])
+    heads = offsets[:-1][n > 0]  # a run lies within one text
+    runs[heads] = False
+    runs[heads[heads + 1 < len(data)] + 1] = False
     same = per(runs)
 
     folded, at = buffers(lower(text))
@@ -157,7 +160,7 @@ def _judge(text: pa.Array, model: QualityModel | None, least: float) -> tuple[np
     n = np.diff(buffers(text)[1])
     if model is None:
         return np.full(len(n), np.nan), np.full(len(n), np.nan), n > 0
-    s = np.where(n > 0, model.scores(statistics(text)), np.nan)
+    s = np.where(n > 0, np.round(model.scores(statistics(text)), 9), np.nan)  # alike for equal texts, whatever the batch
     p = model.probabilities(s)
     return s, np.where(n > 0, p, np.nan), (n > 0) & (p >= least)
 
