@@ -5,10 +5,12 @@
    of the corpus. A randomised SVD (two passes, partition-summed) gives their leading right singular
    vectors; benchmark items enter it with as much total weight as the corpus, so that the latent
    space resolves what has to be found.
-3. Every passage is compared with every item by cosine in that space.
+3. Every passage is compared with every item in that space: by cosine, and by the share ``overlap`` of
+   the item's own length that the passage has in its direction (a passage of one or two benchmark words
+   may point anywhere, but is short).
 4. Around each candidate the longest common subsequence with the item decides: a share of
-   ``sure`` of the item's words, or of ``likely`` of them and ``answer_share`` of its answer's words
-   (the part behind the last "answer:", else the last sentence).
+   ``sure`` of the item's words, or of ``likely`` of them and ``answer`` of its answer's words (the part
+   behind the last "answer:", else the last sentence; one of under ``LEAST_ANSWER`` words proves nothing).
 
 Words outside the benchmark can't match an item, so that leaving them out changes no result.
 
@@ -36,6 +38,9 @@ from .kernels import binary_rows, lookup, owners, ragged, slices, to_batch, word
 from .shared import stored, tree_sum
 
 BLOCK = 16
+#: Bytes of ids at a time: what is gathered for them stays in a core's cache.
+CHUNK = 1 << 16
+LEAST_ANSWER = 4
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 _FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
@@ -91,14 +96,24 @@ def _blocks(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[row] + (np.arange(len(ids)) - first[row]) // BLOCK, start
 
 
+def _add_rows(out: np.ndarray, target: np.ndarray, rows: np.ndarray, source: np.ndarray) -> None:
+    """out[target] += source[rows] for an ascending target: the first row of each target, then the second, and so on."""
+    if not len(target):
+        return
+    begins = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+    nth = np.arange(len(target)) - np.repeat(begins, np.diff(np.append(begins, len(target))))
+    order = np.argsort(nth, kind="stable")
+    cuts = np.searchsorted(nth[order], np.arange(nth.max() + 2))
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        k = order[i:j]
+        out[target[k]] += source[rows[k]]
+
+
 def _project(ids: np.ndarray, block: np.ndarray, n: int, weighted: np.ndarray, useful: np.ndarray) -> np.ndarray:
     """Sums by block of the words' rows of a matrix whose row 0 is of no word."""
     out = np.zeros((n, weighted.shape[1]), np.float32)
     at = np.flatnonzero(useful[ids])
-    if len(at):
-        b = block[at]
-        begins = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-        out[b[begins]] = np.add.reduceat(weighted[ids[at]], begins, axis=0)
+    _add_rows(out, block[at], ids[at], weighted)
     return out
 
 
@@ -108,18 +123,15 @@ def _gram(table: DataFrame, weight: np.ndarray, matrix: np.ndarray, dtype: type)
     weighted = (weight[:, None] * matrix).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m, l))
-        for s in slices(batches, "ids"):
+        total = np.zeros((m, l), np.float32)
+        for s in slices(batches, "ids", CHUNK):
             ids, first = ragged(s.column("ids"), dtype)
             block, start = _blocks(ids, first)
             y = _project(ids, block, start[-1], weighted, useful)
             at = np.flatnonzero(useful[ids])
-            if len(at):
-                at = at[np.argsort(ids[at], kind="stable")]
-                x = ids[at]
-                begins = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-                total[x[begins]] += np.add.reduceat(y[block[at]], begins, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["sums"])
+            at = at[np.argsort(ids[at], kind="stable")]
+            _add_rows(total, ids[at], block[at], y)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
 
     return tree_sum(table.mapInArrow(run, "sums binary"), "f4").astype(float).reshape(m, l) * weight[:, None]
 
@@ -130,7 +142,7 @@ def latent_space(table: DataFrame, items: Items, rank: int, oversample: int, com
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(m + 1, np.int64)
-        for s in slices(batches, "ids"):
+        for s in slices(batches, "ids", CHUNK):
             ids, first = ragged(s.column("ids"), dtype)
             block, start = _blocks(ids, first)
             keys = np.sort(block * m + ids)
@@ -156,14 +168,16 @@ def latent_space(table: DataFrame, items: Items, rank: int, oversample: int, com
     return weight, (basis @ u)[:, ::-1][:, :rank]
 
 
-def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray, cosine: float, likely: float) -> DataFrame:
+def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray, cosine: float, overlap: float, likely: float) -> DataFrame:
     useful, weighted, dtype = weight > 0, (weight[:, None] * space).astype(np.float32), items.dtype
     targets = np.stack([weighted[w].sum(axis=0) for w in items.words])
-    targets /= np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-9)
+    length = np.maximum(np.linalg.norm(targets, axis=1), 1e-9)
+    targets /= length[:, None]
+    enough = (overlap * length).astype(np.float32)
     words, answers, item_ids = items.words, items.answers, items.ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, "ids"):
+        for s in slices(batches, "ids", CHUNK):
             ids, first = ragged(s.column("ids"), dtype)
             if not len(ids):
                 continue
@@ -175,7 +189,7 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
             passage[:-1][joined] += v[1:][joined]
             norm = np.linalg.norm(passage, axis=1, keepdims=True)
             near = passage @ targets.T
-            hits = np.argwhere(near >= cosine * np.maximum(norm, 1e-9))
+            hits = np.argwhere((near >= cosine * np.maximum(norm, 1e-9)) & (near >= enough))
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for p, j in hits.tolist():
                 d = text[p]
@@ -184,7 +198,7 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
                 near_words = ids[max(first[d], at - n) : min(first[d + 1], at + 2 * BLOCK + n)].tolist()
                 share = common_length(words[j], near_words) / n
                 if share >= likely:
-                    a = common_length(answers[j], near_words) / max(len(answers[j]), 1)
+                    a = common_length(answers[j], near_words) / len(answers[j]) if len(answers[j]) >= LEAST_ANSWER else 0.0
                     best[d, j] = max(best.get((d, j), (-1.0, 0.0, 0.0)), (share, a, float(near[p, j] / max(norm[p, 0], 1e-9))))
             if best:
                 doc = s.column("doc_id").take(pa.array([d for d, _ in best]))
@@ -193,7 +207,7 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
     return table.mapInArrow(run, _FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 128, oversample: int = 16, common: float = 0.1, cosine: float = 0.35, likely: float = 0.5, sure: float = 0.7, answer: float = 0.8, least_words: int = 5, items_at_once: int = 5_000, seed: int = 3) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, oversample: int = 8, common: float = 0.01, cosine: float = 0.35, overlap: float = 0.35, likely: float = 0.6, sure: float = 0.75, answer: float = 0.8, least_words: int = 5, items_at_once: int = 5_000, seed: int = 3) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of each document that holds an item.
 
     The benchmark is collected; the vocabulary of ``items_at_once`` items at a time goes to the executors.
@@ -214,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 128, over
         table = stored(named.mapInArrow(code, "doc_id long, ids binary"), "ids")
         if not table.df.isEmpty():
             weight, space = latent_space(table.df, items, rank, oversample, common, seed)
-            results.append(stored(_find(table.df, items, weight, space, cosine, likely), "found"))
+            results.append(stored(_find(table.df, items, weight, space, cosine, overlap, likely), "found"))
         table.drop()
     if not results:
         return docs.sparkSession.createDataFrame(pd.DataFrame(), _FOUND)
