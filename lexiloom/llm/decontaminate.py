@@ -28,7 +28,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,7 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, overs
             results.append(stored(_find(table.df, items, weight, space, cosine, overlap, likely), "found"))
         table.drop()
     if not results:
-        return docs.sparkSession.createDataFrame(pd.DataFrame(), _FOUND)
+        return docs.sparkSession.createDataFrame([], _FOUND)
     found = results[0].df
     for r in results[1:]:
         found = found.union(r.df)
