@@ -19,6 +19,7 @@ Rows with null doc_id are packed, and named null in ``doc_ids``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,23 +35,28 @@ from .secret_scan import VOCABULARY, encoding
 from .shared import stored
 
 NO_SOURCE = "\x00null"
-_CACHE: dict[str, dict[str, np.ndarray]] = {}
-_CACHED = 400_000
+_CACHE: dict[str, dict[str, list[int]]] = {}
+_CACHED = 600_000
 
 
 def tokenise(text: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each text with an end token behind (none of an empty text), and where each text's begin.
 
-    Texts are cut before blanks between ASCII letters, where the vocabulary's splitter cuts in any
-    case; each distinct piece is encoded once.
+    Texts are cut where the vocabulary's splitter cuts in any case (before a single blank that a letter
+    follows, and between an ASCII letter and a sign); each distinct piece is encoded once.
     """
     data, offsets = buffers(text)
     if not len(data):
         return np.zeros(0, np.uint16), np.zeros(len(text) + 1, np.int64)
-    letter = np.zeros(len(data) + 1, bool)
-    letter[:-1] = (data | 32) - np.uint8(97) < 26
+    letter = (data | 32) - np.uint8(97) < 26
+    shown = data - np.uint8(33) < 94  # ASCII without blanks
+    latin = data == 0xC3  # begins a letter, or one of two signs
+    solid = shown.copy()
+    solid[1:] |= latin[:-1]
+    sign = shown & ~letter & ~(data - np.uint8(48) < 10) & (data != 39)
     cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = (data[1:] == 32) & letter[:-2] & letter[2:]
+    cut[1:-1] = letter[:-1] & sign[1:]
+    cut[1:-2] |= (data[1:-1] == 32) & solid[:-2] & (letter | latin)[2:]
     cut[offsets] = True
     at = np.flatnonzero(cut)
     pieces = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data)]).dictionary_encode()
@@ -62,12 +68,12 @@ def tokenise(text: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarra
     for piece in pieces.dictionary.to_pylist():
         t = cache.get(piece)
         if t is None:
-            t = np.array(encode(piece), np.uint16)
+            t = encode(piece)
             if len(piece) < 64:
                 cache[piece] = t
         known.append(t)
-    size = np.array([len(t) for t in known])
-    flat, start = np.concatenate(known), np.concatenate([[0], np.cumsum(size)[:-1]])
+    size = np.fromiter(map(len, known), np.int64, len(known))
+    flat, start = np.fromiter(chain.from_iterable(known), np.uint16, size.sum()), np.concatenate([[0], np.cumsum(size)[:-1]])
     index = pieces.indices.to_numpy()
     lengths = size[index]
     # pieces of each text, and with them its tokens; the end token takes one place more
@@ -190,7 +196,8 @@ def mix_sources(docs: DataFrame, *, length: int = 2048, weights: dict[str | None
     if fill:
         cuts = cuts.union(spark.createDataFrame(fill, cuts.schema))
     packed = cuts.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "tokens"))).alias("parts"))
-    joined = plan.join(packed, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "parts")
+    # both sides grow with the data; the plan of so small a source as range() would be taken for small
+    joined = plan.hint("merge").join(packed, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "parts")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
