@@ -98,7 +98,7 @@ def centroids(table: DataFrame, group: str, vector: str = "embedding", dimension
 
 def register(spark: SparkSession) -> None:
     """SQL functions: tokenize(text), l2(a, b), cosine(a, b), centroid(v) as an aggregate, token_windows(tokens, width) as a table."""
-    from pyspark.sql.functions import pandas_udf, udtf
+    from pyspark.sql.functions import PandasUDFType, pandas_udf, udtf
 
     from .text import SEPARATOR
 
@@ -109,8 +109,7 @@ def register(spark: SparkSession) -> None:
     def mean(v: pd.Series) -> list[float]:
         return np.mean(np.stack(v.to_list()), axis=0).tolist()
 
-    mean.__annotations__ = {"v": pd.Series, "return": list}
-    spark.udf.register("centroid", pandas_udf(mean, "array<double>", "grouped_agg"))
+    spark.udf.register("centroid", pandas_udf(mean, "array<double>", PandasUDFType.GROUPED_AGG))
 
     @udtf(returnType="window_index: int, tokens: array<string>")
     class TokenWindows:
