@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import neighbours
 from .neighbours import distances
+from .lineage import checkpointed
 
 SMALLEST = 1e-12
 
@@ -102,6 +103,11 @@ def minimum_spanning_tree(points: DataFrame, min_samples: int, **options: object
     return ids, kruskal(ids, list(zip(e["src"].tolist(), e["dst"].tolist(), e["weight"].tolist(), strict=True)))
 
 
+def tree_statistics(edges: list[tuple[int, int, float]]) -> dict[str, float]:
+    weights = [w for *_, w in edges]
+    return {"edges": len(weights), "min": min(weights, default=0.0), "max": max(weights, default=0.0), "total": sum(weights)}
+
+
 @dataclass
 class Node:
     """A cluster of the dendrogram: born at a distance, dead where its parent is born."""
@@ -285,7 +291,7 @@ class HDBSCAN:
             tree = condense(nodes, self.min_cluster_size)
             label, strength = extract(n, tree, select_clusters(tree, self.method, self.allow_single, self.epsilon, self.stability))
         found = spark.createDataFrame(pd.DataFrame({"id": ids.astype(np.int64), "label": label.astype(np.int32), "probability": strength}), "id long, label int, probability double")
-        scored = found.join(cores, "id").checkpoint()
+        scored = checkpointed(found.join(cores, "id"))
         top = scored.agg(F.max("core"), F.avg("core")).first()
         mean = F.avg("core").over(Window.partitionBy("label"))
         score = F.when(F.lit(not top[0]), 0.0).when(F.col("label") == -1, F.col("core") / F.lit(top[0] or 1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("core") - mean) / F.lit(top[0] or 1.0)))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 BLOCK = 1024
 PLACES = 9
 
@@ -134,12 +136,12 @@ def graph_statistics(graph: DataFrame) -> DataFrame:
 
 def connected_components(graph: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(id, component): the smallest id that can be reached; pointers are shortened each round, so that rounds grow with the logarithm of the diameter."""
-    edges = graph.select("src", "dst").union(graph.select("dst", "src")).where("src != dst").distinct().checkpoint()
-    labels = nodes.select(F.col(nodes.columns[0]).cast("long").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
+    edges = checkpointed(graph.select("src", "dst").union(graph.select("dst", "src")).where("src != dst").distinct())
+    labels = checkpointed(nodes.select(F.col(nodes.columns[0]).cast("long").alias("id")).distinct().withColumn("component", F.col("id")))
     for _ in range(most_rounds):
         near = edges.join(labels, edges["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("c"))
         step = labels.join(near, labels["id"] == near["src"], "left").select("id", F.least("component", "c").alias("m"), "component")
-        jump = step.join(labels.toDF("m", "mm"), "m", "left").select("id", F.least("m", "mm").alias("new"), "component").checkpoint()
+        jump = checkpointed(step.join(labels.toDF("m", "mm"), "m", "left").select("id", F.least("m", "mm").alias("new"), "component"))
         labels = jump.select("id", F.col("new").alias("component"))
         if jump.where("new != component").isEmpty():
             break

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import linalg
 from ..functions.vectors import dimension_of
 from . import neighbours
+from .lineage import checkpointed
 
 
 class Reducer(Protocol):
@@ -260,7 +261,7 @@ class UMAP:
             return pd.DataFrame({"id": ids, "embedding": list(y)})
 
         one = lambda t: t.withColumn("__one", F.lit(1)).groupBy("__one")
-        laid = one(edges).cogroup(one(start)).applyInPandas(lay, "id long, embedding array<double>").checkpoint()
+        laid = checkpointed(one(edges).cogroup(one(start)).applyInPandas(lay, "id long, embedding array<double>"))
         return replace(self, layout=laid, trained=some)
 
     def _start(self, some: DataFrame, n: int) -> DataFrame:

@@ -26,6 +26,7 @@ from ..operators.reduction import PCA, UMAP, Identity
 from ..sources.providers import EmbeddingProvider
 from ..sources.storage import VERSION, ParquetStorage
 from .config import ConfigurationError, TopicModelConfig
+from ..operators.lineage import checkpointed
 
 STAGES = {"embedding": 0.30, "reduction": 0.15, "clustering": 0.30, "representation": 0.15, "coherence": 0.10}
 
@@ -134,10 +135,10 @@ class TopicModel:
         clustered = stage("clustering", lambda: engine.fit(small, key="doc_id"))
         labelled = clustered.assignment
         tokens = docs.select("doc_id", tokenize("text", tokenizer_config(config)).alias("tokens"))
-        keywords = stage("representation", lambda: represent(tokens, labelled, config).checkpoint())
-        scores = stage("coherence", lambda: coherence.topic_coherence(tokens, keywords, config.coherence).checkpoint() if config.coherence else None)
-        topics = topic_table(keywords, labelled, docs, scores, d).checkpoint()
-        result = assign.document_topics(docs, labelled, topics).join(labelled.select("doc_id", "outlier_score"), "doc_id").checkpoint()
+        keywords = stage("representation", lambda: checkpointed(represent(tokens, labelled, config)))
+        scores = stage("coherence", lambda: checkpointed(coherence.topic_coherence(tokens, keywords, config.coherence)) if config.coherence else None)
+        topics = checkpointed(topic_table(keywords, labelled, docs, scores, d))
+        result = checkpointed(assign.document_topics(docs, labelled, topics).join(labelled.select("doc_id", "outlier_score"), "doc_id"))
         return replace(self, topics=topics, assignment=result, corpus=docs, reducer=reducer, dimension=d, provider=provider)
 
     def fit_transform(self, docs: DataFrame, provider: EmbeddingProvider | None = None) -> DataFrame:
@@ -242,8 +243,8 @@ class TopicModel:
         tokens = self.corpus.select("doc_id", tokenize("text", tokenizer_config(self.config)).alias("tokens"))
         changed = sorted(set(target.values()))
         new = topic_table(represent(tokens, labelled, self.config), labelled, self.corpus, None, self.dimension).where(F.col("topic_id").isin(changed))
-        topics = self.topics.where(~F.col("topic_id").isin(sorted(set(target) | set(changed)))).unionByName(new).checkpoint()
-        result = assign.document_topics(self.corpus, labelled.select("doc_id", "label", "probability"), topics).join(self.assignment.select("doc_id", "outlier_score"), "doc_id").checkpoint()
+        topics = checkpointed(self.topics.where(~F.col("topic_id").isin(sorted(set(target) | set(changed)))).unionByName(new))
+        result = checkpointed(assign.document_topics(self.corpus, labelled.select("doc_id", "label", "probability"), topics).join(self.assignment.select("doc_id", "outlier_score"), "doc_id"))
         return replace(self, topics=topics, assignment=result)
 
     # persistence

@@ -22,9 +22,9 @@ from ..plans.config import UpdateConfig
 from ..plans.model import TopicModel
 from ..sources.storage import ParquetStorage
 from .drift import Drift
+from ..operators.lineage import checkpointed
 
 PENDING = "doc_id long, text string, embedding array<double>, batch long"
-PHASES = ("embed", "reduce", "cluster", "represent", "match", "merge")
 
 
 class TopicUpdater:
@@ -77,11 +77,11 @@ class TopicUpdater:
         if number > state["batch"]:
             pending = self.store.pending()
             fresh = rows if pending is None else rows.join(pending.where(F.col("batch") == number).select("doc_id"), "doc_id", "left_anti")
-            fresh = fresh.checkpoint()
+            fresh = checkpointed(fresh)
             self.store.append_pending(fresh)
             self.store.append_embeddings(fresh)
         if self.has_model:
-            result = assignment.cosine_assignment(rows, self.topics(), threshold=self.config.assign).checkpoint()
+            result = checkpointed(assignment.cosine_assignment(rows, self.topics(), threshold=self.config.assign))
             if number > state["batch"]:
                 seen = result.orderBy("doc_id").select((1 - F.col("similarity")).alias("d"), (F.col("topic_id") == -1).alias("o")).toPandas()
                 self._save(batch=number, seen=state["seen"] + n, drift=self.drift.observe_all(seen["d"].to_list(), seen["o"].to_list()).as_dict())

@@ -13,6 +13,7 @@ from lexiloom.plans.model import NotFitted, TopicModel, TopicModelError
 from lexiloom.sources.providers import CachingProvider, FunctionProvider, PassthroughProvider, PrecomputedProvider
 from lexiloom.sources.storage import MissingEmbedding, ParquetStorage
 from lexiloom.streaming.drift import Drift, batch_drift, stream_drift
+from lexiloom.streaming.training import Interrupted, TrainingRunner
 from lexiloom.streaming.updater import TopicUpdater
 
 
@@ -235,3 +236,22 @@ def test_interrupted_training_waits_again(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         updater.process(corpus(spark, 8))
     assert updater.pending_count() == 8 and not updater.has_model and updater.store.load_checkpoint() is None
+
+
+def test_training_goes_on_behind_the_last_phase(spark, tmp_path):
+    store, calls = ParquetStorage(spark, str(tmp_path / "t")), []
+    config = TopicModelConfig.preset("small_corpus")
+
+    def stop() -> bool:
+        calls.append(1)
+        return len(calls) > 3
+
+    with pytest.raises(Interrupted) as e:
+        TrainingRunner(store, config, stop).run(corpus(spark))
+    assert e.value.phase == "representation" and store.load_checkpoint()["phases"] == ["corpus", "reduction", "clustering"]
+    runner = TrainingRunner(store, config)
+    assert runner.can_resume()
+    fitted = runner.resume()
+    assert fitted.topics.count() == 2 and fitted.assignment.count() == 24 and not runner.can_resume()
+    with pytest.raises(RuntimeError):
+        runner.resume()
