@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import one_row_each, sized_join
+from .joins import one_row_each
 from .kernels import U64, owners, slices, window_hashes, word_hashes
 from .shared import stored
 
@@ -67,34 +67,33 @@ def _rerank(pairs: DataFrame, final: bool) -> DataFrame:
     ordered = pairs.repartition("r", "s").sortWithinPartitions("r", "s", "doc_id", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seen, held = TaskContext.get().partitionId() << 40, 0, []
-        for b in batches:
-            if not b.num_rows:
+        # a group may go on in the next batch; of the last one only its key, its rank and a single row that waits are kept
+        rank, key, waiting = TaskContext.get().partitionId() << 40, None, None
+        for t in batches:
+            if not t.num_rows:
                 continue
-            held.append(b)
-            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             r, s = t.column("r").to_numpy(), t.column("s").to_numpy()
-            begins = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])]))
-            held = [t.slice(begins[-1])]  # the last group may go on
-            if begins[-1]:
-                yield group(t.slice(0, begins[-1]), begins[:-1], base + seen)
-                seen += len(begins) - 1
-        if held:
-            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            yield group(t, np.zeros(1, np.int64), base + seen)
-
-    def group(t: pa.RecordBatch, begins: np.ndarray, rank: int) -> pa.RecordBatch:
-        size = np.diff(np.append(begins, t.num_rows))
-        many = np.repeat(size > 1, size)
-        ranks = np.repeat(rank + np.arange(len(begins)), size)
-        if final:
-            again = np.ones(t.num_rows, bool)
-            again[begins] = False
-            columns = [pa.array(again)]
-        else:
-            columns = [pa.array(ranks)]
-        out = pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("pos"), *columns], ["doc_id", "pos", "again" if final else "rank"])
-        return out.filter(pa.array(many))
+            fresh = np.concatenate([[(r[0], s[0]) != key], (r[1:] != r[:-1]) | (s[1:] != s[:-1])])
+            goes_on = not fresh[0]
+            if goes_on and waiting is not None:
+                yield out(waiting, np.array([rank]), np.zeros(1, bool))
+                waiting = None
+            ranks = rank + np.cumsum(fresh)
+            begins = np.flatnonzero(np.concatenate([[True], fresh[1:]]))
+            size = np.diff(np.append(begins, t.num_rows))
+            many = np.repeat(size > 1, size)
+            if goes_on:
+                many[: size[0]] = True
+            if not many[-1]:
+                waiting = t.slice(t.num_rows - 1)
+            elif size[-1] < t.num_rows or fresh[0]:
+                waiting = None
+            kept = pa.array(many)
+            yield out(t.filter(kept), ranks[many], ~fresh[many])
+            rank, key = int(ranks[-1]), (r[-1], s[-1])
+
+    def out(t: pa.RecordBatch, ranks: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("pos"), pa.array(again) if final else pa.array(ranks)], ["doc_id", "pos", "again" if final else "rank"])
 
     return ordered.mapInArrow(run, "doc_id long, pos int, again boolean" if final else "doc_id long, pos int, rank long")
 
@@ -189,8 +188,8 @@ def repeats(docs: DataFrame, *, least: int = 50) -> DataFrame:
             r = gram_row[at]
             yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(grams[at + BASE].view(np.int64)), s.column("doc_id").take(pa.array(r)), pa.array((at - start[r]).astype(np.int32))], ["r", "s", "doc_id", "pos"])
 
-    # an array of some dozen positions a row
-    now = stored(_rerank(sized_join(named, active, "doc_id", row_bytes=128).mapInArrow(pairs, "r long, s long, doc_id long, pos int"), least == 2 * BASE), "ranks")
+    # arrays of positions: Spark knows the table's size from its files, and shuffles but for the smallest
+    now = stored(_rerank(named.join(active.df, "doc_id").mapInArrow(pairs, "r long, s long, doc_id long, pos int"), least == 2 * BASE), "ranks")
     active.drop()
     length = 2 * BASE
     while length < least:

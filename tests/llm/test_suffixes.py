@@ -58,6 +58,20 @@ def test_repeats_equal_all_windows(docs_of, least):
     assert rows_of(suffixes.repeats(docs_of(docs), least=least)) == brute(docs, least)
 
 
+def test_groups_that_span_batches(spark, docs_of):
+    rng = random.Random(1)
+    p = [rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(70)]
+    docs = [(i, " ".join([f"own{i}"] * rng.randrange(3) + p[rng.randrange(12) :] + [f"end{i}"] * rng.randrange(3))) for i in range(25)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for n in (1, 2, 3, 7):
+            spark.conf.set(name, str(n))
+            assert rows_of(suffixes.repeats(docs_of(docs))) == brute(docs, 50)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_each_window_selects_its_smallest_hash():
     rng = np.random.default_rng(3)
     grams, first = rng.integers(0, 1 << 63, 300, dtype=np.uint64), np.array([0, 5, 120, 120, 300])
