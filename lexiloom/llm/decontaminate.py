@@ -5,10 +5,10 @@
    of the corpus. A randomised SVD (two passes, partition-summed) gives their leading right singular
    vectors; benchmark items enter it with as much total weight as the corpus, so that the latent
    space resolves what has to be found.
-3. Every passage is compared with every item in that space: by cosine, and by the share ``overlap`` of
-   the item's own length that the passage has in its direction (a passage of one or two benchmark words
-   may point anywhere, but is short).
-4. Around each candidate the longest common subsequence with the item decides: a share of
+3. Items are cut into the same passages. Every passage of a text is compared with every passage of an
+   item in that space: by cosine, and by the share ``overlap`` of the latter's length that the former has
+   in its direction (a passage of one or two benchmark words may point anywhere, but is short).
+4. Around each candidate the longest common subsequence with the whole item decides: a share of
    ``sure`` of the item's words, or of ``likely`` of them and ``answer`` of its answer's words (the part
    behind the last "answer:", else the last sentence; one of under ``LEAST_ANSWER`` words proves nothing).
 
@@ -95,6 +95,11 @@ def _blocks(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[row] + (np.arange(len(ids)) - first[row]) // BLOCK, start
 
 
+def _passages(n: int) -> range:
+    """Where the passages of an item of so many words begin."""
+    return range(0, max(n - BLOCK, 1), BLOCK)
+
+
 def _add_rows(out: np.ndarray, target: np.ndarray, rows: np.ndarray, source: np.ndarray) -> None:
     """out[target] += source[rows] for an ascending target: the first row of each target, then the second, and so on."""
     if not len(target):
@@ -169,11 +174,17 @@ def latent_space(table: DataFrame, items: Items, rank: int, oversample: int, com
 
 def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray, cosine: float, overlap: float, likely: float) -> DataFrame:
     useful, weighted, dtype = weight > 0, (weight[:, None] * space).astype(np.float32), items.dtype
-    targets = np.stack([weighted[w].sum(axis=0) for w in items.words])
+    parts = [(j, a) for j, w in enumerate(items.words) for a in _passages(len(w))]
+    owner = np.array([j for j, _ in parts])
+    targets = np.stack([weighted[items.words[j][a : a + 2 * BLOCK]].sum(axis=0) for j, a in parts])
     length = np.maximum(np.linalg.norm(targets, axis=1), 1e-9)
     targets /= length[:, None]
     enough = (overlap * length).astype(np.float32)
     words, answers, item_ids = items.words, items.answers, items.ids
+    counted = np.zeros((len(words), len(weight)), bool)
+    for j, w in enumerate(words):
+        counted[j, w] = True
+    counted[:, 0] = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "ids", CHUNK):
@@ -188,17 +199,22 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
             passage[:-1][joined] += v[1:][joined]
             norm = np.linalg.norm(passage, axis=1, keepdims=True)
             near = passage @ targets.T
-            hits = np.argwhere((near >= cosine * np.maximum(norm, 1e-9)) & (near >= enough))
+            p, t = np.nonzero((near >= cosine * np.maximum(norm, 1e-9)) & (near >= enough))
+            hits: dict[tuple[int, int], float] = {}
+            for p, j, c in zip(p.tolist(), owner[t].tolist(), (near[p, t] / np.maximum(norm[p, 0], 1e-9)).tolist(), strict=True):
+                hits[p, j] = max(hits.get((p, j), -1.0), c)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for p, j in hits.tolist():
-                d = text[p]
+            for (p, j), c in hits.items():
+                d, n = text[p], len(words[j])
                 at = first[d] + (p - start[d]) * BLOCK
-                n = len(words[j])
-                near_words = ids[max(first[d], at - n) : min(first[d + 1], at + 2 * BLOCK + n)].tolist()
+                near_words = ids[max(first[d], at - n) : min(first[d + 1], at + 2 * BLOCK + n)]
+                if counted[j][near_words].sum() / n < likely:  # no more words than these can be in common
+                    continue
+                near_words = near_words.tolist()
                 share = common_length(words[j], near_words) / n
                 if share >= likely:
                     a = common_length(answers[j], near_words) / len(answers[j]) if len(answers[j]) >= LEAST_ANSWER else 0.0
-                    best[d, j] = max(best.get((d, j), (-1.0, 0.0, 0.0)), (share, a, float(near[p, j] / max(norm[p, 0], 1e-9))))
+                    best[d, j] = max(best.get((d, j), (-1.0, 0.0, 0.0)), (share, a, c))
             if best:
                 doc = s.column("doc_id").take(pa.array([d for d, _ in best]))
                 yield pa.RecordBatch.from_arrays([doc, pa.array([item_ids[j] for _, j in best]), *(pa.array([x[k] for x in best.values()]) for k in (2, 0, 1))], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])

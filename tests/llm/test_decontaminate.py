@@ -101,3 +101,29 @@ def test_odd_rows(spark, docs_of):
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 5]
     assert decontaminate.contaminated(docs_of([]), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def natural(n: int, rng: random.Random, vocabulary: list[str]) -> list[str]:
+    """Words by a Zipf law."""
+    return [vocabulary[min(int(rng.paretovariate(0.6)) - 1, len(vocabulary) - 1)] for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [100, 150, 200, 300, 1_000])
+def test_long_items(spark, docs_of, n):
+    rng = random.Random(n)
+    vocabulary = sorted({"".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4))) for _ in range(3_000)})
+    rng.shuffle(vocabulary)
+    items = [(i, " ".join(natural(n, rng, vocabulary))) for i in range(12)]
+    rows, leaks = [], set()
+    for d in range(150):
+        body = natural(rng.randrange(100, 500), rng, vocabulary)
+        if d < 24:  # one verbatim, one with other words in places
+            passage = items[d // 2][1].split()
+            if d % 2:
+                passage = [rng.choice(vocabulary) if rng.random() < 0.15 else w for w in passage]
+            at = rng.randrange(len(body))
+            body[at:at] = passage
+            leaks.add((d, d // 2))
+        rows.append((d, " ".join(body)))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == leaks
