@@ -7,7 +7,8 @@
    space resolves what has to be found.
 3. Items are cut into the same passages. Every passage of a text is compared with every passage of an
    item in that space: by cosine, and by the share ``overlap`` of the latter's length that the former has
-   in its direction (a passage of one or two benchmark words may point anywhere, but is short).
+   in its direction (a passage of one or two benchmark words may point anywhere, but is short). With a
+   share of ``most`` the cosine doesn't matter: frequent words weigh little beside a few rare ones.
 4. Around each candidate the longest common subsequence with the whole item decides: a share of
    ``sure`` of the item's words, or of ``likely`` of them and ``answer`` of its answer's words (the part
    behind the last "answer:", else the last sentence; one of under ``LEAST_ANSWER`` words proves nothing).
@@ -40,6 +41,8 @@ BLOCK = 16
 #: Bytes of ids at a time: what is gathered for them stays in a core's cache.
 CHUNK = 1 << 16
 LEAST_ANSWER = 4
+#: Of a word that all blocks hold.
+LEAST_WEIGHT = 0.1
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 _FOUND = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
 
@@ -141,7 +144,11 @@ def _gram(table: DataFrame, weight: np.ndarray, matrix: np.ndarray, dtype: type)
 
 
 def latent_space(table: DataFrame, items: Items, rank: int, oversample: int, common: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """idf weights of the vocabulary (0 for words in more than a share ``common`` of the blocks) and its latent coordinates."""
+    """idf weights of the vocabulary and its latent coordinates.
+
+    Words in more than a share ``common`` of the blocks weigh as much less as they occur more often, but
+    at least ``LEAST_WEIGHT``: an item may have no others, or be what makes them frequent.
+    """
     m, dtype = len(items.vocabulary) + 1, items.dtype
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +164,7 @@ def latent_space(table: DataFrame, items: Items, rank: int, oversample: int, com
 
     counts = tree_sum(table.mapInArrow(count, "sums binary"), "i8")
     df, n = counts[:m].astype(float), max(int(counts[m]), 1)
-    weight = np.where(df <= common * n, np.log((n + 1) / (df + 1)), 0.0)
+    weight = np.maximum(np.log((n + 1) / (df + 1)) * np.minimum(1.0, common * n / np.maximum(df, 1)), LEAST_WEIGHT)
     weight[0] = 0
     own = np.zeros((len(items.words), m))
     for i, words in enumerate(items.words):
@@ -172,14 +179,14 @@ def latent_space(table: DataFrame, items: Items, rank: int, oversample: int, com
     return weight, (basis @ u)[:, ::-1][:, :rank]
 
 
-def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray, cosine: float, overlap: float, likely: float) -> DataFrame:
+def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray, cosine: float, overlap: float, most: float, likely: float) -> DataFrame:
     useful, weighted, dtype = weight > 0, (weight[:, None] * space).astype(np.float32), items.dtype
     parts = [(j, a) for j, w in enumerate(items.words) for a in _passages(len(w))]
     owner = np.array([j for j, _ in parts])
     targets = np.stack([weighted[items.words[j][a : a + 2 * BLOCK]].sum(axis=0) for j, a in parts])
     length = np.maximum(np.linalg.norm(targets, axis=1), 1e-9)
     targets /= length[:, None]
-    enough = (overlap * length).astype(np.float32)
+    enough, plenty = (overlap * length).astype(np.float32), (most * length).astype(np.float32)
     words, answers, item_ids = items.words, items.answers, items.ids
     counted = np.zeros((len(words), len(weight)), bool)
     for j, w in enumerate(words):
@@ -199,7 +206,7 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
             passage[:-1][joined] += v[1:][joined]
             norm = np.linalg.norm(passage, axis=1, keepdims=True)
             near = passage @ targets.T
-            p, t = np.nonzero((near >= cosine * np.maximum(norm, 1e-9)) & (near >= enough))
+            p, t = np.nonzero((near >= enough) & ((near >= cosine * np.maximum(norm, 1e-9)) | (near >= plenty)))
             hits: dict[tuple[int, int], float] = {}
             for p, j, c in zip(p.tolist(), owner[t].tolist(), (near[p, t] / np.maximum(norm[p, 0], 1e-9)).tolist(), strict=True):
                 hits[p, j] = max(hits.get((p, j), -1.0), c)
@@ -222,7 +229,7 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
     return table.mapInArrow(run, _FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, oversample: int = 8, common: float = 0.01, cosine: float = 0.35, overlap: float = 0.35, likely: float = 0.6, sure: float = 0.75, answer: float = 0.8, least_words: int = 5, items_at_once: int = 5_000, seed: int = 3) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, oversample: int = 8, common: float = 1.0, cosine: float = 0.35, overlap: float = 0.35, most: float = 0.5, likely: float = 0.6, sure: float = 0.75, answer: float = 0.8, least_words: int = 5, items_at_once: int = 5_000, seed: int = 3) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of each document that holds an item.
 
     The benchmark is collected; the vocabulary of ``items_at_once`` items at a time goes to the executors.
@@ -243,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, overs
         table = stored(named.mapInArrow(code, "doc_id long, ids binary"), "ids")
         if not table.df.isEmpty():
             weight, space = latent_space(table.df, items, rank, oversample, common, seed)
-            results.append(stored(_find(table.df, items, weight, space, cosine, overlap, likely), "found"))
+            results.append(stored(_find(table.df, items, weight, space, cosine, overlap, most, likely), "found"))
         table.drop()
     if not results:
         return docs.sparkSession.createDataFrame([], _FOUND)

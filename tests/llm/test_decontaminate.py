@@ -127,3 +127,35 @@ def test_long_items(spark, docs_of, n):
         rows.append((d, " ".join(body)))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == leaks
+
+
+def test_tables_of_few_blocks(spark, docs_of):
+    item = "seven rivers run under the old stone bridge near the quiet harbour town"
+    filler = "plain talk of other matters and nothing else at all"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.contaminated(docs_of([(1, item), (2, filler), (3, f"{filler} {item} {filler}")]), bench).collect()}
+    assert got == {1, 3}
+    assert [r.doc_id for r in decontaminate.contaminated(docs_of([(1, item)]), bench).collect()] == [1]
+
+
+@pytest.mark.parametrize("only_frequent", [False, True])
+def test_frequent_words(spark, docs_of, only_frequent):
+    """An item in half of the documents, and items without a rare word, beside rarer words of the benchmark."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    frequent, rare = [word() for _ in range(40)], [word() for _ in range(900)]
+    body = lambda n: [rng.choice(frequent if rng.random() < 0.5 else rare) for _ in range(n)]
+    items = [(i, " ".join(rng.choice(frequent) for _ in range(20)) if only_frequent else " ".join(body(20))) for i in range(10)]
+    items += [(i, " ".join(body(30))) for i in range(100, 130)]
+    rows, leaks = [], set()
+    for d in range(300):
+        words = body(rng.randrange(40, 90))
+        if d % 2:
+            i = d // 2 % 10 if only_frequent else 3
+            at = rng.randrange(len(words))
+            words[at:at] = items[i][1].split()
+            leaks.add((d, i))
+        rows.append((d, " ".join(words)))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert leaks <= got, len(leaks - got)
+    assert only_frequent or got == leaks
