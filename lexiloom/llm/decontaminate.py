@@ -11,7 +11,8 @@
    share of ``most`` the cosine doesn't matter: frequent words weigh little beside a few rare ones.
 4. Around each candidate the longest common subsequence with the whole item decides: a share of
    ``sure`` of the item's words, or of ``likely`` of them and ``answer`` of its answer's words (the part
-   behind the last "answer:", else the last sentence; one of under ``LEAST_ANSWER`` words proves nothing).
+   behind the last "answer:", else the last sentence). These have to stand together, at most ``NEAR_ANSWER``
+   words behind a match of the question; those of an answer of under ``LEAST_ANSWER`` words without a gap.
 
 Words outside the benchmark can't match an item, so that leaving them out changes no result.
 
@@ -41,6 +42,7 @@ BLOCK = 16
 #: Bytes of ids at a time: what is gathered for them stays in a core's cache.
 CHUNK = 1 << 16
 LEAST_ANSWER = 4
+NEAR_ANSWER = 8
 #: Of a word that all blocks hold.
 LEAST_WEIGHT = 0.1
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -70,6 +72,27 @@ def answer_of(text: str) -> str:
     return sentences[-1] if sentences else text
 
 
+def answer_share(item: list[int], answer: list[int], near: list[int], likely: float) -> float:
+    """Which share of an answer stands together, where it and its question before it make up ``likely`` of the item; short ones count only whole."""
+    n, short = len(answer), len(answer) < LEAST_ANSWER
+    question = item[: len(item) - n]
+    if not n or not question:
+        return common_length(answer, near) / n if n else 0.0
+    if common_length(answer, near) < (n if short else n / 2):
+        return 0.0
+    best, width = 0, n if short else n + n // 2 + 1
+    for at in [i for i, x in enumerate(near) if x and x in answer]:
+        held = common_length(answer, near[at : at + width])
+        if held <= best or short and held < n:
+            continue
+        # the question's match has to reach the last few words before the answer
+        before = near[max(0, at - 2 * len(question)) : at]
+        whole = common_length(question, before)
+        if whole + held >= likely * len(item) and whole > common_length(question, before[:-NEAR_ANSWER]):
+            best = held
+    return best / n
+
+
 class Items:
     """The benchmark as arrays: vocabulary, words and answers of the items."""
 
@@ -219,8 +242,8 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
                     continue
                 near_words = near_words.tolist()
                 share = common_length(words[j], near_words) / n
-                if share >= likely:
-                    a = common_length(answers[j], near_words) / len(answers[j]) if len(answers[j]) >= LEAST_ANSWER else 0.0
+                if share >= max(likely, best.get((d, j), (0.0,))[0]):
+                    a = answer_share(words[j], answers[j], near_words, likely)
                     best[d, j] = max(best.get((d, j), (-1.0, 0.0, 0.0)), (share, a, c))
             if best:
                 doc = s.column("doc_id").take(pa.array([d for d, _ in best]))
@@ -229,7 +252,7 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
     return table.mapInArrow(run, _FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 64, oversample: int = 8, common: float = 1.0, cosine: float = 0.35, overlap: float = 0.35, most: float = 0.5, likely: float = 0.6, sure: float = 0.75, answer: float = 0.8, least_words: int = 5, items_at_once: int = 5_000, seed: int = 3) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 128, oversample: int = 16, common: float = 1.0, cosine: float = 0.35, overlap: float = 0.35, most: float = 0.5, likely: float = 0.5, sure: float = 0.7, answer: float = 0.8, least_words: int = 5, items_at_once: int = 5_000, seed: int = 3) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of each document that holds an item.
 
     The benchmark is collected; the vocabulary of ``items_at_once`` items at a time goes to the executors.

@@ -159,3 +159,24 @@ def test_frequent_words(spark, docs_of, only_frequent):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert leaks <= got, len(leaks - got)
     assert only_frequent or got == leaks
+
+
+def test_paraphrases_with_the_answer(spark, docs_of):
+    """Half to two thirds of an item's words count with its answer, also a short one, but not without it or with its words apart."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    frequent = ["the", "of", "is", "in", "was", "that"]
+    items, rows, leaks = [], [], set()
+    for i in range(40):
+        question, answer = [word() for _ in range(24)], [word() for _ in range(i % 4 + 1)] if i < 32 else frequent[:5]
+        items.append((i, " ".join(question) + "? Answer: " + " ".join(answer)))
+        kept = [w if rng.random() < 0.62 or k > 20 else word() for k, w in enumerate(question)]
+        filler = lambda: [rng.choice(frequent) if rng.random() < 0.4 else word() for _ in range(40)]
+        rows.append((2 * i, " ".join([*filler(), *kept, "answer", *answer, *filler()])))
+        leaks.add((2 * i, i))
+        apart = [x for w in answer for x in (w, *[word() for _ in range(9)])] if i >= 32 else []
+        rows.append((2 * i + 1, " ".join([*filler(), *kept, *apart, *filler()])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs_of(rows), bench).collect()}
+    assert leaks <= set(got), len(leaks - set(got))
+    assert all(got[x].lcs_share >= 0.7 for x in set(got) - leaks)
