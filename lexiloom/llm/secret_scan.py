@@ -2,7 +2,7 @@
 
 Byte-pair vocabularies hold the common pieces of words and identifiers, so that such strings need
 few tokens and random ones many. Candidates are runs of at least ``LEAST`` characters of the base64
-and URL alphabets that mix letters with digits or the cases. Excluded are
+and URL alphabets, ``LEAST_NAMED`` behind a credential's name, with a letter among them. Excluded are
 
 - digests: hexadecimal runs of a digest's length, and base64 behind an algorithm's name, unless a
   credential's name introduces them; the digests of empty input in any case,
@@ -34,7 +34,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's texts are split before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAST = 20
-CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Behind a credential's name.
+LEAST_NAMED = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_NAMED},}}"
 _CANDIDATE = re.compile(CANDIDATE)
 _NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|credential|bearer|auth\w*|api[_ -]?key|access[_ -]?key|private[_ -]?key|key)[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$")
 _DIGEST_NAMED = re.compile(r"(?i)(?:sha-?\d+|md5|commit|checksum|digest|integrity|etag|blake\w+)[\"']?\s*[:=\- ]\s*[\"']?$")
@@ -54,8 +56,8 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 
 def excluded(s: str, before: str) -> bool:
-    """Whether a string is a known digest or identifier, or no mixture at all."""
-    if not any(c.isdigit() for c in s) and (s.islower() or s.isupper()) or not any(c.isalpha() for c in s):
+    """Whether a string is a known digest or identifier, or without letters."""
+    if not any(c.isalpha() for c in s):
         return True
     if s.lower() in _EMPTY:
         return True
@@ -67,7 +69,8 @@ def excluded(s: str, before: str) -> bool:
     # words of three letters or more, joined by case or separators, with few digits between
     pieces = _PIECES.findall(s)
     wordy = sum(len(p) for p in pieces if p.isalpha() and len(p) >= 3)
-    return not named and wordy >= 0.8 * len(s.strip("=+/_-"))
+    # letters of one case are a single piece whatever they are: the tokens tell
+    return not named and not (s.isalpha() and (s.islower() or s.isupper())) and wordy >= 0.8 * len(s.strip("=+/_-"))
 
 
 def secrets_of(text: str, tokens: tiktoken.Encoding, most_ratio: float) -> list[tuple[int, int, str, int]]:
@@ -75,7 +78,8 @@ def secrets_of(text: str, tokens: tiktoken.Encoding, most_ratio: float) -> list[
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m.group().lstrip("=").strip("-_/")  # rules, paths and assignments
-        if len(s) < LEAST or excluded(s, text[max(0, m.start() - 40) : m.start()]):
+        before = text[max(0, m.start() - 40) : m.start()]
+        if len(s) < (LEAST_NAMED if _NAMED.search(before) else LEAST) or excluded(s, before):
             continue
         start = m.start() + m.group().index(s)
         n = len(tokens.encode_ordinary(s))

@@ -79,3 +79,12 @@ def test_scan_and_redact_odd_rows(spark, docs_of):
     assert (1, None, None) in out and (2, "", 0) in out and (None, "key [SECRET]", 12) in out and (4, "é [SECRET] [SECRET]", 19) in out
     assert new.count() == 6 and all(TOKEN not in (t or "") for _, t, _ in out)
     assert secret_scan.redact(docs_of([])).count() == 0
+
+
+def test_letters_of_one_case_and_short_named_strings():
+    tokens = secret_scan.encoding(secret_scan.VOCABULARY)
+    found = lambda t: [x[2] for x in secret_scan.secrets_of(t, tokens, 2.2)]
+    key = "qwhzkxvbnplmtrsdfgjcyowe"
+    assert found(f'token = "{key}"') == [key] and found(f"see {key}.") == [key] and found(key.upper()) == [key.upper()]
+    assert found(f'password: "{key[:16]}"') == [key[:16]] and found(f"see {key[:16]}.") == []
+    assert found("incomprehensibilities counterrevolutionaries") == [] and found("key: internationalization") == []
