@@ -9,12 +9,13 @@
    item in that space: by cosine, and by the share ``overlap`` of the latter's length that the former has
    in its direction (a passage of one or two benchmark words may point anywhere, but is short). With a
    share of ``most`` the cosine doesn't matter: frequent words weigh little beside a few rare ones.
-4. Around each candidate the longest common subsequence with the whole item decides: a share of
+4. Where the whole item would lie around a candidate, their longest common subsequence decides: a share of
    ``sure`` of the item's words, or of ``likely`` of them and ``answer`` of its answer's words (the part
    behind the last "answer:", else the last sentence). These have to stand together, at most ``NEAR_ANSWER``
    words behind a match of the question; those of an answer of under ``LEAST_ANSWER`` words without a gap.
 
-Words outside the benchmark can't match an item, so that leaving them out changes no result.
+Words outside the benchmark can't match an item and are in none of the passages' directions; a passage's
+length is that of its benchmark words.
 
 Defined results: null and empty texts hold no item; items that are null or have under
 ``least_words`` words are skipped, as too short to be told from common speech; an item_id or doc_id
@@ -35,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import sized_join
-from .kernels import binary_rows, lookup, owners, ragged, slices, to_batch, word_hashes
+from .kernels import binary_rows, lookup, mix, owners, ragged, slices, to_batch, word_hashes
 from .shared import stored, tree_sum
 
 BLOCK = 16
 #: Bytes of ids at a time: what is gathered for them stays in a core's cache.
 CHUNK = 1 << 16
+#: So many of the most frequent words are counted in pairs, in a matrix of four bytes each.
+DENSE = 4_096
 LEAST_ANSWER = 4
 NEAR_ANSWER = 8
 #: Of a word that all blocks hold.
@@ -108,10 +111,53 @@ class Items:
         answers, start = word_hashes(pa.array([answer_of(rows[i][1]) for i in long_], pa.string()))
         code = self.encode(answers)
         self.answers = [code[start[j] : start[j + 1]].tolist() for j in range(len(long_))]
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        # of each word of each item the places that it takes there, as bits
+        size = len(self.vocabulary) + 1
+        flat = np.concatenate([np.array(w, np.int64) for w in self.words]) if long_ else np.zeros(0, np.int64)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        keys, row = np.unique(mix((np.repeat(np.arange(len(long_)), self.lengths) * size + flat).astype(np.uint64)), return_inverse=True)
+        self.keys, self.rows = keys, np.arange(1, len(keys) + 1, dtype=np.int32)
+        self.places = np.zeros((len(keys) + 1, int(-(-self.lengths.max(initial=1) // 64))), np.uint64)
+        np.bitwise_or.at(self.places, (row + 1, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
 
     def encode(self, words: np.ndarray) -> np.ndarray:
         return lookup(self.vocabulary, np.arange(1, len(self.vocabulary) + 1).astype(self.dtype), words)
 
+    def common_lengths(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """common_length() of each item with the words from begin to end, all pairs word by word at a time."""
+        out = np.zeros(len(item), np.int64)
+        wide = -(-self.lengths[item] // 64)
+        for w in np.unique(wide).tolist():
+            own = np.flatnonzero(wide == w)
+            own = own[np.argsort(begin[own] - end[own], kind="stable")]  # the longest first, so that those still at work are in front
+            n, j = (end - begin)[own], item[own]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pair = np.repeat(np.arange(len(own)), n)
+            word = ids[begin[own][pair] + nth].astype(np.int64)
+            known = np.flatnonzero(word)
+            row = np.zeros((n.max(initial=0), len(own)), np.int32)
+            row[nth[known], pair[known]] = lookup(self.keys, self.rows, mix((j[pair[known]] * (len(self.vocabulary) + 1) + word[known]).astype(np.uint64)))
+            left = np.full((w, len(own)), ~np.uint64(0))
+            working = len(own) - np.searchsorted(n[::-1], np.arange(len(row)), "right")
+            for i, k in enumerate(working.tolist()):
+                carry = np.zeros(k, bool)
+                for x in range(w):
+                    v = left[x, :k]
+                    u = v & self.places[row[i, :k], x]
+                    total = v + u
+                    more = total < v
+                    if w > 1:
+                        with_carry = total + carry
+                        more |= with_carry < total
+                        total = with_carry
+                    left[x, :k] = total | (v & ~u)
+                    carry = more
+            for x in range(w):
+                inside = np.minimum(self.lengths[j] - 64 * x, 64).astype(np.uint64)
+                out[own] += np.bitwise_count(~left[x] & (~np.uint64(0) >> (np.uint64(64) - inside)))
+        return out
+
 
 def _blocks(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word its block; and the first block of each text, with their number as the last."""
@@ -139,6 +185,13 @@ def _add_rows(out: np.ndarray, target: np.ndarray, rows: np.ndarray, source: np.
         out[target[k]] += source[rows[k]]
 
 
+def _sum_rows(out: np.ndarray, target: np.ndarray, rows: np.ndarray, source: np.ndarray) -> None:
+    """As _add_rows, of few targets with many rows each."""
+    if len(target):
+        begins = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+        out[target[begins]] += np.add.reduceat(source[rows], begins, axis=0)
+
+
 def _project(ids: np.ndarray, block: np.ndarray, n: int, weighted: np.ndarray, useful: np.ndarray) -> np.ndarray:
     """Sums by block of the words' rows of a matrix whose row 0 is of no word."""
     out = np.zeros((n, weighted.shape[1]), np.float32)
@@ -147,21 +200,55 @@ def _project(ids: np.ndarray, block: np.ndarray, n: int, weighted: np.ndarray, u
     return out
 
 
-def _gram(table: DataFrame, weight: np.ndarray, matrix: np.ndarray, dtype: type) -> np.ndarray:
-    """A'A times a matrix, where A has a tf-idf row for each block of the corpus."""
+def _pair_counts(counts: np.ndarray, word: np.ndarray, block: np.ndarray) -> None:
+    """Add to counts[a, b] the pairs of words a and, later in the same block, b."""
+    flat, n = counts.ravel(), len(counts)
+    for k in range(1, BLOCK):
+        same = np.flatnonzero(block[k:] == block[:-k])
+        np.add.at(flat, word[same] * n + word[same + k], 1)
+
+
+def _gram(table: DataFrame, weight: np.ndarray, matrix: np.ndarray, dtype: type, df: np.ndarray) -> np.ndarray:
+    """A'A times a matrix, where A has a tf-idf row for each block of the corpus.
+
+    A'(A Q) is summed over blocks. Of the ``DENSE`` most frequent words, which make up nearly all of a
+    block, pairs within blocks are counted, and multiplied with Q once a partition; what the others
+    have part in is summed row by row.
+    """
     useful, m, l = weight > 0, len(weight), matrix.shape[1]
     weighted = (weight[:, None] * matrix).astype(np.float32)
+    often = np.sort(np.lexsort((np.arange(m), -np.where(useful, df, -1)))[: min(DENSE, int(useful.sum()))])
+    place = np.full(m, -1, np.int64)
+    place[often] = np.arange(len(often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m, l), np.float32)
+        total = np.zeros((m, l))
+        pairs, single = np.zeros((len(often), len(often)), np.int32), np.zeros(len(often), np.int64)
         for s in slices(batches, "ids", CHUNK):
             ids, first = ragged(s.column("ids"), dtype)
             block, start = _blocks(ids, first)
-            y = _project(ids, block, start[-1], weighted, useful)
             at = np.flatnonzero(useful[ids])
-            at = at[np.argsort(ids[at], kind="stable")]
-            _add_rows(total, ids[at], block[at], y)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
+            word, own = ids[at].astype(np.int64), block[at]
+            rare = place[word] < 0
+            frequent = place[word[~rare]]
+            single += np.bincount(frequent, minlength=len(often))
+            _pair_counts(pairs, frequent, own[~rare])
+            if rare.any():
+                touched = np.zeros(start[-1], bool)
+                touched[own[rare]] = True
+                y, z = np.zeros((2, start[-1], l), np.float32)
+                some = touched[own]
+                _add_rows(y, own[some], word[some], weighted)
+                _add_rows(z, own[rare], word[rare], weighted)
+                for chosen, source in ((rare, y), (some & ~rare, z)):
+                    w, b = word[chosen], own[chosen]
+                    order = np.argsort(w, kind="stable")
+                    _sum_rows(total, w[order], b[order], source)
+        q = weighted[often]
+        for k in range(0, len(often), 512):
+            part = (pairs[k : k + 512] + pairs[:, k : k + 512].T).astype(np.float32)
+            total[often[k : k + 512]] += part @ q + single[k : k + 512, None] * q[k : k + 512]
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()])], ["sums"])
 
     return tree_sum(table.mapInArrow(run, "sums binary"), "f4").astype(float).reshape(m, l) * weight[:, None]
 
@@ -197,7 +284,7 @@ def latent_space(table: DataFrame, items: Items, rank: int, oversample: int, com
     q = np.random.default_rng(seed).normal(size=(m, size))
     for _ in range(2):
         basis, _ = np.linalg.qr(q)
-        q = _gram(table, weight, basis, dtype) + max(energy, 1.0) * (own.T @ (own @ basis))
+        q = _gram(table, weight, basis, dtype, df) + max(energy, 1.0) * (own.T @ (own @ basis))
     _, u = np.linalg.eigh(basis.T @ q)
     return weight, (basis @ u)[:, ::-1][:, :rank]
 
@@ -205,16 +292,12 @@ def latent_space(table: DataFrame, items: Items, rank: int, oversample: int, com
 def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray, cosine: float, overlap: float, most: float, likely: float) -> DataFrame:
     useful, weighted, dtype = weight > 0, (weight[:, None] * space).astype(np.float32), items.dtype
     parts = [(j, a) for j, w in enumerate(items.words) for a in _passages(len(w))]
-    owner = np.array([j for j, _ in parts])
+    owner, offset = np.array(parts).T
     targets = np.stack([weighted[items.words[j][a : a + 2 * BLOCK]].sum(axis=0) for j, a in parts])
     length = np.maximum(np.linalg.norm(targets, axis=1), 1e-9)
     targets /= length[:, None]
     enough, plenty = (overlap * length).astype(np.float32), (most * length).astype(np.float32)
     words, answers, item_ids = items.words, items.answers, items.ids
-    counted = np.zeros((len(words), len(weight)), bool)
-    for j, w in enumerate(words):
-        counted[j, w] = True
-    counted[:, 0] = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "ids", CHUNK):
@@ -230,21 +313,21 @@ def _find(table: DataFrame, items: Items, weight: np.ndarray, space: np.ndarray,
             norm = np.linalg.norm(passage, axis=1, keepdims=True)
             near = passage @ targets.T
             p, t = np.nonzero((near >= enough) & ((near >= cosine * np.maximum(norm, 1e-9)) | (near >= plenty)))
-            hits: dict[tuple[int, int], float] = {}
-            for p, j, c in zip(p.tolist(), owner[t].tolist(), (near[p, t] / np.maximum(norm[p, 0], 1e-9)).tolist(), strict=True):
-                hits[p, j] = max(hits.get((p, j), -1.0), c)
+            c = near[p, t] / np.maximum(norm[p, 0], 1e-9)
+            # where the item would begin, with room for other words before and in it
+            d, j = text[p], owner[t]
+            n = items.lengths[j]
+            at, room = first[d] + (p - start[d]) * BLOCK - offset[t], BLOCK + n // 4
+            begin, end = np.maximum(first[d], at - room), np.minimum(first[d + 1], at + n + room)
+            end = np.maximum(begin, end)
+            share = items.common_lengths(ids, begin, end, j) / n
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for (p, j), c in hits.items():
-                d, n = text[p], len(words[j])
-                at = first[d] + (p - start[d]) * BLOCK
-                near_words = ids[max(first[d], at - n) : min(first[d + 1], at + 2 * BLOCK + n)]
-                if counted[j][near_words].sum() / n < likely:  # no more words than these can be in common
-                    continue
-                near_words = near_words.tolist()
-                share = common_length(words[j], near_words) / n
-                if share >= max(likely, best.get((d, j), (0.0,))[0]):
-                    a = answer_share(words[j], answers[j], near_words, likely)
-                    best[d, j] = max(best.get((d, j), (-1.0, 0.0, 0.0)), (share, a, c))
+            for i in np.flatnonzero(share >= likely).tolist():
+                key = int(d[i]), int(j[i])
+                if share[i] >= best.get(key, (0.0,))[0]:
+                    near_words = ids[begin[i] : end[i]].tolist()
+                    a = answer_share(words[key[1]], answers[key[1]], near_words, likely)
+                    best[key] = max(best.get(key, (-1.0, 0.0, 0.0)), (float(share[i]), a, float(c[i])))
             if best:
                 doc = s.column("doc_id").take(pa.array([d for d, _ in best]))
                 yield pa.RecordBatch.from_arrays([doc, pa.array([item_ids[j] for _, j in best]), *(pa.array([x[k] for x in best.values()]) for k in (2, 0, 1))], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
