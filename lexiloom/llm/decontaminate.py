@@ -19,8 +19,8 @@ length is that of its benchmark words.
 
 Defined results: null and empty texts hold no item; items that are null or have under
 ``least_words`` words are skipped, as too short to be told from common speech; an item_id or doc_id
-that repeats is judged by its best row; ties keep all pairs. Without items or documents the result is
-empty. Extra columns are ignored, and passed through by ``drop_contaminated``. Null ids: the item is
+that repeats is judged by its best row; ties keep all pairs. Very long texts are compared whole, passage
+by passage. Without items or documents the result is empty. Extra columns are ignored, and passed through by ``drop_contaminated``. Null ids: the item is
 skipped, and a document can't be named: ``drop_contaminated`` keeps it.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import sized_join
+from .joins import without
 from .kernels import binary_rows, lookup, mix, owners, ragged, slices, to_batch, word_hashes
 from .shared import stored, tree_sum
 
@@ -370,4 +370,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, rank: int = 128, over
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
     """The documents that hold no benchmark item."""
     gone = stored(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return sized_join(docs, gone, "doc_id", "left_anti")
+    return without(docs, gone.df)
