@@ -10,10 +10,16 @@ Before the first sort positions that can't be in a repeat are left out without l
 of ``least`` words one hash of BASE words is the smallest, the same one in each copy of the window,
 so that a window can repeat only if the hash that it selects occurs at another selected place.
 
+A passage in a third of all documents would make one task sort a third of all positions. Pairs that
+are that frequent are found in a sample of the documents, at most ``HOT`` of them, and spread over
+``SALTS`` tasks, whose groups are known to be one; which pairs are taken for frequent changes no result.
+
 Defined results: null and empty texts, and those of fewer words, have no repeats; a passage that
-repeats within one document counts; rows with null doc_id are left out; rows that repeat a doc_id
-count as one document, that of the smallest text hash; overlapping and adjacent passages are one
-span. Word numbers start at 0, the end is exclusive. Extra columns are ignored.
+repeats within one document counts, also in a text of any length; rows with null doc_id are left
+out; rows that repeat a doc_id count as one document, that of the smallest text hash; of equal passages
+the first by doc_id, then position, is the original; overlapping and adjacent passages are one
+span. Word numbers start at 0, the end is exclusive. Of an empty table the result is empty. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +30,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import one_row_each
+from .joins import matching, one_row_each
 from .kernels import U64, owners, slices, window_hashes, word_hashes
 from .shared import stored
 
 BASE = 16
+#: Low bits of a hash that hold a position, modulo their range; a window is far shorter than that.
+POSITION_BITS = 24
+HOT, SALTS, SAMPLED = 100_000, 64, 64
 
 
 def selected(grams: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
@@ -39,14 +48,17 @@ def selected(grams: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:
     n = len(grams)
     if n < window:
         return np.zeros(0, np.int64)
-    key = (grams & ~U64((1 << 24) - 1)) | np.arange(n, dtype=U64)
+    mask = U64((1 << POSITION_BITS) - 1)
+    key = (grams & ~mask) | (np.arange(n, dtype=U64) & mask)
     padded = np.full(-(-n // window) * window, ~U64(0))
     padded[:n] = key
     ahead = np.minimum.accumulate(padded.reshape(-1, window), axis=1).ravel()
     behind = np.minimum.accumulate(padded.reshape(-1, window)[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: n - window + 1], ahead[window - 1 : n])
-    inside = np.repeat(first[1:], np.diff(first))[: n - window + 1] - np.arange(n - window + 1) >= window
-    return np.unique((least[inside] & U64((1 << 24) - 1)).astype(np.int64))
+    at = np.arange(n - window + 1)
+    inside = np.repeat(first[1:], np.diff(first))[: n - window + 1] - at >= window
+    at, low = at[inside].astype(U64), least[inside]
+    return np.unique((at + ((low - at) & mask)).astype(np.int64))  # the place from the window's start on with these bits
 
 
 def _anchors(docs: DataFrame, least: int) -> DataFrame:
@@ -62,9 +74,26 @@ def _anchors(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc_id long, pos int")
 
 
-def _rerank(pairs: DataFrame, final: bool) -> DataFrame:
-    """Sort positions by rank pair; (doc_id, pos, rank) of the pairs that aren't unique, or at last (doc_id, pos, again)."""
-    ordered = pairs.repartition("r", "s").sortWithinPartitions("r", "s", "doc_id", "pos")
+def hot_pairs(sample: DataFrame) -> DataFrame | None:
+    """(r, s, hot): the pairs that make up more than 1 / HOT of the sampled positions (and 64 of them), numbered; None if there is none."""
+    counts = stored(sample.groupBy("r", "s").agg(F.count("*").alias("n")), "sampled")
+    total = counts.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = counts.df.where(F.col("n") >= max(64, total // HOT)).orderBy("r", "s").collect()  # at most HOT
+    counts.drop()
+    return sample.sparkSession.createDataFrame([(x["r"], x["s"], i) for i, x in enumerate(rows)], "r long, s long, hot int") if rows else None
+
+
+def _rerank(pairs: DataFrame, final: bool, hot: DataFrame | None = None) -> DataFrame:
+    """Sort positions by rank pair; (doc_id, pos, rank, hot) of the pairs that aren't unique, or at last (doc_id, pos, again, hot).
+
+    A frequent pair (r, s, hot) is in several tasks; its rank is -1 - hot in all of them.
+    """
+    if hot is None:
+        pairs, salt = pairs.withColumn("hot", F.lit(-1)), []
+    else:
+        pairs = pairs.join(F.broadcast(hot), ["r", "s"], "left").withColumn("hot", F.coalesce("hot", F.lit(-1)))
+        salt = [F.when(F.col("hot") < 0, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))]
+    ordered = pairs.repartition("r", "s", *salt).sortWithinPartitions("r", "s", "doc_id", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a group may go on in the next batch; of the last one only its key, its rank and a single row that waits are kept
@@ -88,14 +117,26 @@ def _rerank(pairs: DataFrame, final: bool) -> DataFrame:
                 waiting = t.slice(t.num_rows - 1)
             elif size[-1] < t.num_rows or fresh[0]:
                 waiting = None
+            many |= t.column("hot").to_numpy() >= 0
+            if t.column("hot")[t.num_rows - 1].as_py() >= 0:
+                waiting = None
             kept = pa.array(many)
             yield out(t.filter(kept), ranks[many], ~fresh[many])
             rank, key = int(ranks[-1]), (r[-1], s[-1])
 
     def out(t: pa.RecordBatch, ranks: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("pos"), pa.array(again) if final else pa.array(ranks)], ["doc_id", "pos", "again" if final else "rank"])
+        own = t.column("hot").to_numpy()
+        value = pa.array(again) if final else pa.array(np.where(own < 0, ranks, -1 - own.astype(np.int64)))
+        return pa.RecordBatch.from_arrays([t.column("doc_id"), t.column("pos"), value, t.column("hot")], ["doc_id", "pos", "again" if final else "rank", "hot"])
+
+    return ordered.mapInArrow(run, "doc_id long, pos int, again boolean, hot int" if final else "doc_id long, pos int, rank long, hot int")
+
 
-    return ordered.mapInArrow(run, "doc_id long, pos int, again boolean" if final else "doc_id long, pos int, rank long")
+def _one_first(found: DataFrame) -> DataFrame:
+    """Of a frequent pair each task has marked a first position: only the first of all stays so."""
+    firsts = found.where("hot >= 0 AND NOT again").groupBy("hot").agg(F.min(F.struct("doc_id", "pos")).alias("f"))  # at most HOT rows
+    both = found.join(F.broadcast(firsts), "hot", "left")
+    return both.select("doc_id", "pos", (F.col("again") | (F.col("f").isNotNull() & (F.struct("doc_id", "pos") != F.col("f")))).alias("again"))
 
 
 def _by_document(table: DataFrame) -> DataFrame:
@@ -135,7 +176,7 @@ def _pairs_ahead(ranked: DataFrame, offset: int) -> DataFrame:
             both = np.flatnonzero(key[at] == key + offset)
             yield pa.RecordBatch.from_arrays([pa.array(rank[both]), pa.array(rank[at[both]]), pa.array(ids[both]), pa.array(pos[both])], ["r", "s", "doc_id", "pos"])
 
-    return _by_document(ranked).mapInArrow(run, "r long, s long, doc_id long, pos int")
+    return _by_document(ranked.select("doc_id", "pos", "rank")).mapInArrow(run, "r long, s long, doc_id long, pos int")
 
 
 def _spans(found: DataFrame, least: int) -> DataFrame:
@@ -167,9 +208,10 @@ def repeats(docs: DataFrame, *, least: int = 50) -> DataFrame:
     if least < 2 * BASE:
         raise ValueError(f"least must be {2 * BASE} or more")
     named = one_row_each(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    twice = F.count("*").over(Window.partitionBy("gram")) > 1
-    anchors = _anchors(named, least).withColumn("twice", twice).where("twice")
-    active = stored(anchors.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at")), "active")
+    anchors = stored(_anchors(named, least), "anchors")
+    twice = anchors.df.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    active = stored(anchors.df.join(twice, "gram").groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at")), "active")
+    anchors.drop()
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "text"):
@@ -188,17 +230,19 @@ def repeats(docs: DataFrame, *, least: int = 50) -> DataFrame:
             r = gram_row[at]
             yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), pa.array(grams[at + BASE].view(np.int64)), s.column("doc_id").take(pa.array(r)), pa.array((at - start[r]).astype(np.int32))], ["r", "s", "doc_id", "pos"])
 
-    # arrays of positions: Spark knows the table's size from its files, and shuffles but for the smallest
-    now = stored(_rerank(named.join(active.df, "doc_id").mapInArrow(pairs, "r long, s long, doc_id long, pos int"), least == 2 * BASE), "ranks")
+    sampled = F.pmod(F.xxhash64("doc_id", F.lit(SAMPLED)), F.lit(SAMPLED)) == 0
+    first = lambda docs: matching(docs, active.df).mapInArrow(pairs, "r long, s long, doc_id long, pos int")
+    now = stored(_rerank(first(named), least == 2 * BASE, hot_pairs(first(named.where(sampled)))), "ranks")
     active.drop()
     length = 2 * BASE
     while length < least:
         offset = min(length, least - length)
         length += offset
-        after = stored(_rerank(_pairs_ahead(now.df, offset), length == least), "ranks")
+        hot = hot_pairs(_pairs_ahead(now.df.where(sampled), offset))
+        after = stored(_rerank(_pairs_ahead(now.df, offset), length == least, hot), "ranks")
         now.drop()
         now = after
-    return _spans(now.df, least)
+    return _spans(_one_first(now.df), least)
 
 
 SQL = r"""

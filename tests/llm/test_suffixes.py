@@ -88,3 +88,29 @@ def test_odd_rows(docs_of):
     assert suffixes.repeats(docs_of([])).count() == 0
     with pytest.raises(ValueError):
         suffixes.repeats(docs_of([]), least=20)
+
+
+def test_positions_beyond_the_bits_that_hold_them(monkeypatch, docs_of):
+    monkeypatch.setattr(suffixes, "POSITION_BITS", 7)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(90)]
+    body = [word() for _ in range(1_500)]
+    body[1_200:1_200] = passage
+    docs = [(1, " ".join(body)), (2, " ".join([word() for _ in range(700)] + passage))]
+    rng = np.random.default_rng(3)
+    grams, first = rng.integers(0, 1 << 63, 2_000, dtype=np.uint64), np.array([0, 2_000])
+    at = set(suffixes.selected(grams, first, 35).tolist())
+    top = grams >> np.uint64(7)
+    assert at == {i + int(np.argmin(top[i : i + 35])) for i in range(2_000 - 34)}
+    assert rows_of(suffixes.repeats(docs_of(docs))) == brute(docs, 50)
+
+
+def test_frequent_passages_are_spread(monkeypatch, docs_of):
+    monkeypatch.setattr(suffixes, "SAMPLED", 1)
+    monkeypatch.setattr(suffixes, "SALTS", 5)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(75)]
+    docs = [(i * 3, " ".join([word() for _ in range(rng.randrange(4))] + passage[rng.randrange(8) :] + [word() for _ in range(rng.randrange(4))])) for i in range(90)]
+    assert rows_of(suffixes.repeats(docs_of(docs).repartition(3))) == brute(docs, 50)
