@@ -13,7 +13,9 @@ Defined results: null source is a source of its own (null in the result); null a
 texts that repeat, count like others, except that texts without tokens add nothing, not even an end;
 the last block of a source is filled with end tokens; a weight for a source that doesn't exist is
 left out, one that isn't given is 0; without blocks the result is empty. Extra columns are ignored.
-Rows with null doc_id are packed, and named null in ``doc_ids``.
+Rows with null doc_id are packed, and named null in ``doc_ids``. Very long texts are cut over as many
+blocks as they need; ties don't occur, as slots and blocks are numbered. Of an empty table the result is
+empty. Weights name sources one by one, so that one row a source, its total, goes to the driver.
 """
 
 from __future__ import annotations
@@ -39,6 +41,11 @@ _CACHE: dict[str, dict[str, list[int]]] = {}
 _CACHED = 600_000
 
 
+def width_of(path: str, end: int) -> type:
+    """The narrowest type that holds all tokens of a vocabulary and the end token."""
+    return np.uint16 if max(encoding(path).max_token_value, end) < 1 << 16 else np.uint32
+
+
 def tokenise(text: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each text with an end token behind (none of an empty text), and where each text's begin.
 
@@ -46,8 +53,9 @@ def tokenise(text: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarra
     follows, and between an ASCII letter and a sign); each distinct piece is encoded once.
     """
     data, offsets = buffers(text)
+    width = width_of(path, end)
     if not len(data):
-        return np.zeros(0, np.uint16), np.zeros(len(text) + 1, np.int64)
+        return np.zeros(0, width), np.zeros(len(text) + 1, np.int64)
     letter = (data | 32) - np.uint8(97) < 26
     shown = data - np.uint8(33) < 94  # ASCII without blanks
     latin = data == 0xC3  # begins a letter, or one of two signs
@@ -73,7 +81,7 @@ def tokenise(text: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarra
                 cache[piece] = t
         known.append(t)
     size = np.fromiter(map(len, known), np.int64, len(known))
-    flat, start = np.fromiter(chain.from_iterable(known), np.uint16, size.sum()), np.concatenate([[0], np.cumsum(size)[:-1]])
+    flat, start = np.fromiter(chain.from_iterable(known), width, size.sum()), np.concatenate([[0], np.cumsum(size)[:-1]])
     index = pieces.indices.to_numpy()
     lengths = size[index]
     # pieces of each text, and with them its tokens; the end token takes one place more
@@ -82,7 +90,7 @@ def tokenise(text: pa.Array, path: str, end: int) -> tuple[np.ndarray, np.ndarra
     ahead = np.concatenate([[0], np.cumsum(lengths)])
     ends_before = np.concatenate([[0], np.cumsum(some)])
     first = ahead[first_piece] + ends_before
-    out = np.full(first[-1], end, np.uint16)
+    out = np.full(first[-1], end, width)
     shift = np.repeat(ends_before[:-1], np.diff(first_piece))  # of each piece
     place = np.repeat(shift, lengths) + np.arange(ahead[-1])
     out[place] = flat[np.repeat(start[index] - ahead[:-1], lengths) + np.arange(ahead[-1])]
@@ -108,6 +116,21 @@ def shard_counts(seed: int, shard: int, size: int, weights: np.ndarray) -> np.nd
     return np.random.default_rng([seed, shard]).multinomial(size, weights)
 
 
+def sums_before(table: DataFrame, group: str, order: str, name: str, run: int = 4_096) -> DataFrame:
+    """table with the sum of n over the rows of its group that come before in order (a whole number, without repeats).
+
+    Runs of ``run`` numbers are summed first, and the runs before a row's own are one row each, so that
+    no task sees all rows of a group: of a group of 16 million rows a task holds 4,096.
+    """
+    t = table.withColumn("__run", F.floor(F.col(order) / run))
+    runs = t.groupBy(group, "__run").agg(F.sum("n").alias("__n"))
+    earlier = Window.partitionBy(group).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(group, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    own = Window.partitionBy(group, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    both = t.withColumn("__own", F.coalesce(F.sum("n").over(own), F.lit(0))).join(runs, [group, "__run"])
+    return both.withColumn(name, F.col("__base") + F.col("__own")).drop("__run", "__own", "__base")
+
+
 def _tokens(docs: DataFrame, path: str, end: int) -> DataFrame:
     """pid, source, doc_id, at (offset within partition and source), n, tokens."""
 
@@ -137,11 +160,10 @@ def mix_sources(docs: DataFrame, *, length: int = 2048, weights: dict[str | None
 
     weights: of sources, to be normalised; if not given, each source's tokens to the power ``flatten``.
     """
-    spark = docs.sparkSession
+    spark, width = docs.sparkSession, width_of(vocabulary, end)
     table = stored(_tokens(docs, vocabulary, end), "tokens")
     part = stored(table.df.groupBy("pid", "source").agg(F.sum("n").alias("n")), "parts")
-    w = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    base = stored(part.df.select("pid", "source", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base")), "bases")
+    base = stored(sums_before(part.df, "source", "pid", "base").drop("n"), "bases")
     # one row a source
     totals = {r["source"]: r["n"] for r in part.df.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()}
     schema = "shard long, slot long, source string, epoch long, block long, doc_ids array<long>, tokens array<int>"
@@ -161,8 +183,7 @@ def mix_sources(docs: DataFrame, *, length: int = 2048, weights: dict[str | None
                 yield pd.DataFrame({"shard": shard, "k": np.arange(len(counts)), "n": counts})
 
     drawn = spark.range(shards).mapInPandas(draw, "shard long, k long, n long")
-    before = F.sum("n").over(Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    each = drawn.withColumn("first", before).where("n > 0").select("shard", "k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
+    each = sums_before(drawn, "k", "shard", "first").where("n > 0").select("shard", "k", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("draw"))
     order = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "k", "draw", F.lit(seed)), "k", "draw")
     each = each.select("shard", (F.row_number().over(order) - 1).cast("long").alias("slot"), "k", "draw")
     count = np.array([blocks[s] for s in names])
@@ -179,7 +200,7 @@ def mix_sources(docs: DataFrame, *, length: int = 2048, weights: dict[str | None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "tokens", 4 << 20):
-            tokens, first = ragged(s.column("tokens"), np.uint16)
+            tokens, first = ragged(s.column("tokens"), width)
             at = s.column("at").to_numpy() + s.column("base").to_numpy()
             n = np.diff(first)
             pieces = (at + n - 1) // length - at // length + 1
@@ -192,7 +213,7 @@ def mix_sources(docs: DataFrame, *, length: int = 2048, weights: dict[str | None
             yield pa.RecordBatch.from_arrays([s.column("source").take(take), pa.array(block), pa.array((begin - block * length).astype(np.int32)), s.column("doc_id").take(take), binary_rows(tokens, bounds)], ["source", "block", "at", "doc_id", "tokens"])
 
     cuts = sized_join(table.df, base, ["pid", "source"], row_bytes=64).select("source", "doc_id", "at", "base", "tokens").mapInArrow(cut, "source string, block long, at int, doc_id long, tokens binary")
-    fill = [(s, blocks[s] - 1, n % length, None, np.full(length - n % length, end, np.uint16).tobytes()) for s, n in totals.items() if n % length]
+    fill = [(s, blocks[s] - 1, n % length, None, np.full(length - n % length, end, width).tobytes()) for s, n in totals.items() if n % length]
     if fill:
         cuts = cuts.union(spark.createDataFrame(fill, cuts.schema))
     packed = cuts.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("at", "doc_id", "tokens"))).alias("parts"))
@@ -203,7 +224,7 @@ def mix_sources(docs: DataFrame, *, length: int = 2048, weights: dict[str | None
         for b in batches:
             parts = b.column("parts")
             inner = parts.flatten()
-            tokens, first = ragged(inner.field("tokens"), np.uint16)
+            tokens, first = ragged(inner.field("tokens"), width)
             bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())])
             ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), inner.field("doc_id"))
             out = pa.ListArray.from_arrays(pa.array(first[bounds], pa.int32()), pa.array(tokens.astype(np.int32)))

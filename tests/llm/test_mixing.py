@@ -85,3 +85,24 @@ def test_odd_rows(docs_of):
     assert {r.source for r in out} <= {"a", "b", None} and all(len(r.tokens) == 128 for r in out)
     assert mixing.mix_sources(docs_of([])).count() == 0 and mixing.mix_sources(docs_of(rows[:2])).count() == 0
     assert mixing.mix_sources(docs_of(rows), weights={"missing": 1.0}).count() == 0
+
+
+def test_sums_before_are_those_of_one_pass(spark):
+    rng = random.Random(5)
+    rows = [(g, i, rng.randrange(5)) for g in ("a", "b", None) for i in range(100) if rng.random() < 0.8]
+    got = {(r.g, r.i): r.before for r in mixing.sums_before(spark.createDataFrame([r for r in rows if r[0]], "g string, i long, n long"), "g", "i", "before", run=7).collect()}
+    for g in "ab":
+        total = 0
+        for _, i, n in [r for r in rows if r[0] == g]:
+            assert got[g, i] == total
+            total += n
+
+
+def test_vocabularies_of_any_size(docs_of, tmp_path):
+    import base64
+
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(bytes([i])) + b" %d\n" % (70_000 + i) for i in range(256)))
+    out = mixing.mix_sources(docs_of([(1, "abc"), (2, "de")]).coalesce(1), length=4, vocabulary=str(path), end=80_000).collect()
+    tokens = [t for r in sorted(out, key=lambda r: r.block) for t in r.tokens]
+    assert tokens == [70_097, 70_098, 70_099, 80_000, 70_100, 70_101, 80_000, 80_000]
