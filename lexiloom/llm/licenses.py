@@ -10,12 +10,14 @@ further character. Spans of one notice don't overlap; where spans of different n
 with the smallest share of errors stays, of equal ones the longer, then the one that starts first,
 then the first by name. Offsets count characters, the end is exclusive.
 
-Defined results: null and empty texts report nothing; rows that repeat, or have null doc_id, are
-reported row by row; extra columns are ignored.
+Defined results: null and empty texts report nothing; very long texts are scanned whole, in time that
+grows with their length; rows that repeat, or have null doc_id, are reported row by row; of an empty
+table the result is empty; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,11 +112,12 @@ def notices_of(text: str, notices: tuple[tuple[str, str], ...], per_error: int)
             found: list[tuple[int, int, int]] = []
             _best(pattern, folded, a, b, found)
             spans += [(e / len(notice), s - t, s, t, name, e) for s, t, e in found]
-    kept: list[tuple[int, int, str, int]] = []
+    kept: list[tuple[int, int, str, int]] = []  # disjoint, so that only its neighbours can overlap a new one
     for _, _, s, t, name, e in sorted(spans):
-        if all(t <= x or y <= s for x, y, _, _ in kept):
-            kept.append((s, t, name, e))
-    return sorted(kept)
+        i = bisect_left(kept, (s, t))
+        if (i == len(kept) or t <= kept[i][0]) and (i == 0 or kept[i - 1][1] <= s):
+            kept.insert(i, (s, t, name, e))
+    return kept
 
 
 def scan(docs: DataFrame, *, notices: dict[str, str] | None = None, per_error: int = 10) -> DataFrame:

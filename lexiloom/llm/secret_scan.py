@@ -8,10 +8,14 @@ and URL alphabets, ``LEAST_NAMED`` behind a credential's name, with a letter amo
   credential's name introduces them; the digests of empty input in any case,
 - identifiers: UUIDs without a credential's name, numbers, and names put together from words.
 
-What is left with at most ``most_ratio`` characters per token is reported. Defined results: null and
-empty texts report nothing; each occurrence is a row of its own, so that repeated strings and rows
-repeat; rows with null doc_id are reported with it; extra columns are ignored, and passed through by
-``redact``, which replaces the strings and keeps n_chars, if there is such a column, up to date.
+What is left with at most ``most_ratio`` characters per token is reported. Where a whole run isn't, and no
+digest, its parts between ``/ = - _`` are judged alike, so that a path of words before a random string
+doesn't hide it. Defined results: null and empty texts report nothing; very long texts and strings are
+scanned whole; each occurrence is a row of its own, so that repeated strings and rows repeat, and
+nothing can tie; rows with null doc_id are reported with it; of an empty table the result is empty;
+extra columns are ignored, and passed through by ``redact``, which replaces the strings and keeps
+n_chars, if there is such a column, up to date. The vocabulary's file has to be at the same path on
+all executors.
 Offsets count characters, from 0; the end is exclusive.
 """
 
@@ -38,6 +42,7 @@ LEAST = 20
 LEAST_NAMED = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_NAMED},}}"
 _CANDIDATE = re.compile(CANDIDATE)
+_PART = re.compile(rf"[A-Za-z0-9+]{{{LEAST_NAMED},}}")
 _NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|credential|bearer|auth\w*|api[_ -]?key|access[_ -]?key|private[_ -]?key|key)[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$")
 _DIGEST_NAMED = re.compile(r"(?i)(?:sha-?\d+|md5|commit|checksum|digest|integrity|etag|blake\w+)[\"']?\s*[:=\- ]\s*[\"']?$")
 _HEX = re.compile(r"(?i)[0-9a-f]+")
@@ -55,17 +60,20 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def digest(s: str, before: str) -> bool:
+    """Whether a string is a known digest or a UUID, which no credential's name introduces."""
+    if s.lower() in _EMPTY:
+        return True
+    if _NAMED.search(before):
+        return False
+    return bool(_DIGEST_NAMED.search(before) or _UUID.fullmatch(s) or len(s) in _DIGEST_LENGTHS and _HEX.fullmatch(s))
+
+
 def excluded(s: str, before: str) -> bool:
     """Whether a string is a known digest or identifier, or without letters."""
-    if not any(c.isalpha() for c in s):
-        return True
-    if s.lower() in _EMPTY:
+    if not any(c.isalpha() for c in s) or digest(s, before):
         return True
     named = _NAMED.search(before) is not None
-    if _DIGEST_NAMED.search(before) and not named:
-        return True
-    if not named and (_UUID.fullmatch(s) or len(s) in _DIGEST_LENGTHS and _HEX.fullmatch(s)):
-        return True
     # words of three letters or more, joined by case or separators, with few digits between
     pieces = _PIECES.findall(s)
     wordy = sum(len(p) for p in pieces if p.isalpha() and len(p) >= 3)
@@ -76,15 +84,26 @@ def excluded(s: str, before: str) -> bool:
 def secrets_of(text: str, tokens: tiktoken.Encoding, most_ratio: float) -> list[tuple[int, int, str, int]]:
     """(start, end, string, tokens) of each secret in a text."""
     out = []
-    for m in _CANDIDATE.finditer(text):
-        s = m.group().lstrip("=").strip("-_/")  # rules, paths and assignments
-        before = text[max(0, m.start() - 40) : m.start()]
+
+    def judge(s: str, start: int, before: str) -> bool:
         if len(s) < (LEAST_NAMED if _NAMED.search(before) else LEAST) or excluded(s, before):
-            continue
-        start = m.start() + m.group().index(s)
+            return False
         n = len(tokens.encode_ordinary(s))
         if len(s) <= most_ratio * n:
             out.append((start, start + len(s), s, n))
+            return True
+        return False
+
+    for m in _CANDIDATE.finditer(text):
+        s = m.group().lstrip("=").strip("-_/")  # rules, paths and assignments
+        before = text[max(0, m.start() - 40) : m.start()]
+        start = m.start() + m.group().index(s)
+        if judge(s, start, before) or digest(s, before):
+            continue
+        for p in _PART.finditer(s):
+            if len(p.group()) < len(s):
+                at = start + p.start()
+                judge(p.group(), at, text[max(0, at - 40) : at])
     return out
 
 

@@ -88,3 +88,71 @@ def test_letters_of_one_case_and_short_named_strings():
     assert found(f'token = "{key}"') == [key] and found(f"see {key}.") == [key] and found(key.upper()) == [key.upper()]
     assert found(f'password: "{key[:16]}"') == [key[:16]] and found(f"see {key[:16]}.") == []
     assert found("incomprehensibilities counterrevolutionaries") == [] and found("key: internationalization") == []
+
+
+def judged(text: str, tokens) -> set[tuple[int, int]]:
+    """Brute force: every maximal run, and every run between separators, judged by its definition."""
+    import re
+
+    alphabet = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    found, i = set(), 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in alphabet:
+            j += 1
+        if j - i >= secret_scan.LEAST_NAMED:
+            a, b = i, j
+            while a < b and text[a] == "=":
+                a += 1
+            while a < b and text[a] in "-_/":
+                a += 1
+            while b > a and text[b - 1] in "-_/":
+                b -= 1
+
+            def random_(x: int, y: int, before: str) -> bool:
+                s = text[x:y]
+                named = secret_scan._NAMED.search(before) is not None
+                least = secret_scan.LEAST_NAMED if named else secret_scan.LEAST
+                return len(s) >= least and not secret_scan.excluded(s, before) and len(s) / len(tokens.encode_ordinary(s)) <= 2.2
+
+            before = text[max(0, i - 40) : i]
+            if random_(a, b, before):
+                found.add((a, b))
+            elif not secret_scan.digest(text[a:b], before):
+                at = a
+                for part in re.split("([/=_-])", text[a:b]):
+                    if len(part) < b - a and random_(at, at + len(part), text[max(0, at - 40) : at]):
+                        found.add((at, at + len(part)))
+                    at += len(part)
+        i = max(j, i + 1)
+    return found
+
+
+def test_scan_query_equals_brute_force(spark, docs_of):
+    rng = random.Random(8)
+    tokens = secret_scan.encoding(secret_scan.VOCABULARY)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = lambda: "".join(rng.choice(chars) for _ in range(rng.randrange(12, 44)))
+    parts = [secret, lambda: "home/user/projects/production/config/" + secret(), lambda: 'token = "' + secret() + '"', lambda: "%040x" % rng.getrandbits(160), lambda: "commit: %040x" % rng.getrandbits(160), lambda: "api_key=" + secret(), lambda: "plain words of text", lambda: "getElementByIdentifierName", lambda: "=" * 25, lambda: "-_-" + secret() + "/--"]
+    rows = [(i, " ".join(rng.choice(parts)() for _ in range(6))) for i in range(200)]
+    got = {(r.doc_id, r.start, r.end) for r in secret_scan.scan(docs_of(rows)).collect()}
+    assert got == {(d, a, b) for d, t in rows for a, b in judged(t, tokens)} and len(got) > 200
+
+
+def test_a_path_of_words_does_not_hide_a_secret():
+    tokens = secret_scan.encoding(secret_scan.VOCABULARY)
+    found = lambda t: [x[2] for x in secret_scan.secrets_of(t, tokens, 2.2)]
+    path = "api/v1/organizations/engineering/projects/production/webhooks/"
+    rng = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = ["".join(rng.choice(chars) for _ in range(20)) for _ in range(60)]
+    caught = [x for x in some if found(f"see {x}.")]
+    assert len(caught) >= 55 and all(any(x in f for f in found(path + x)) for x in caught)
+    assert any(found(path + x) == [x] for x in caught)
+    assert found("sha256: " + "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855") == [] and found(path) == []
+
+
+def test_many_notices_in_one_text():
+    text = " and ".join(["Licensed under CC BY 4.0", "All rights reserved"] * 4_000)
+    found = licenses.notices_of(text, tuple(licenses.NOTICES.items()), 10)
+    assert len(found) == 8_000 and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
