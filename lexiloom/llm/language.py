@@ -5,11 +5,13 @@ to 2^15 places) that both contain: a blended-spectrum kernel on presence, normal
 of every language give a Nyström approximation; kernel ridge regression, one language against the
 rest, is solved from partition-summed products with the landmarks. A linear function of the kernel
 values folds into one weight for each place and language, so that a batch of texts is scored by a
-product of its presence matrix with the weights.
+product of its presence matrix with the weights. The training sample is drawn by language, so that
+rare ones have rows too.
 
 Defined results: null languages and texts without bytes don't train; such a text has null language,
-score and margin; of equal scores the language first in the alphabet wins; each row has its result,
-repeated rows alike; without training rows all is null. Extra columns are ignored.
+score and margin; very long texts count whole; of equal scores the language first in the alphabet
+wins; each row has its result, repeated rows alike; without training rows all is null, and of an empty
+table the result is empty. Null doc_ids are passed on. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,13 @@ PLACES = 1 << 15
 _OUT = "doc_id long, language string, score double, margin double"
 
 
+def small_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of 256 rows at most, whose presence takes 8 MB."""
+    for s in slices(batches, "text", 1 << 18):
+        for k in range(0, s.num_rows, 256):
+            yield s.slice(k, 256)
+
+
 def presence(text: pa.Array) -> np.ndarray:
     """For each text which places its n-grams take; whole texts count."""
     data, offsets = buffers(lower(text))
@@ -62,21 +71,21 @@ class Languages:
 
 
 def fit(docs: DataFrame, *, landmarks: int = 256, max_train_rows: int = 6_000, ridge: float = 1e-3, seed: int = 5) -> Languages | None:
-    """Train on at most ``max_train_rows`` documents (by hash of doc_id), of which ``landmarks``, spread over the languages, are landmarks."""
+    """Train on some ``max_train_rows`` documents, as many of each language (by hash of doc_id), of which ``landmarks`` are landmarks."""
     known = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text != ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    chosen = known.select("doc_id", "lang").distinct().withColumn("order", F.xxhash64("doc_id", F.lit(seed))).orderBy("order", "doc_id", "lang").limit(max_train_rows)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    table = stored(chosen.withColumn("nth", nth), "chosen")
-    names = [r["lang"] for r in table.df.select("lang").distinct().orderBy("lang").collect()]
+    names = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").collect()]
     if not names:
-        table.drop()
         return None
+    # what a task can't place among its first rows of a language is left out before the shuffle
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    ordered = known.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("order"))
+    table = stored(ordered.withColumn("nth", nth).where(F.col("nth") <= -(-max_train_rows // len(names))).dropDuplicates(["doc_id", "lang"]), "chosen")
     # bounded by a parameter, so that it may be sent to all executors
     sample = stored(known.join(F.broadcast(table.df), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]), "sample")
     table.drop()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, "text"):
+        for s in small_slices(batches):
             bits = np.packbits(presence(s.column("text")), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bits])], ["bits"])
 
@@ -88,7 +97,7 @@ def fit(docs: DataFrame, *, landmarks: int = 256, max_train_rows: int = 6_000, r
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((l, l + c))
-        for s in slices(batches, "text"):
+        for s in small_slices(batches):
             bits = presence(s.column("text"))
             k = _products(bits, marks.T) / np.sqrt(np.maximum(bits.sum(axis=1), 1))[:, None]
             y = np.array(s.column("lang").to_pylist())[:, None] == np.array(names)[None, :]
@@ -107,19 +116,17 @@ def identify(docs: DataFrame, model: Languages | None) -> DataFrame:
     """doc_id, language, score (of the language, about 1 if certain and -1 if not) and margin over the next one, of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in slices(batches, "text", 1 << 18):
-            for k in range(0, s.num_rows, 256):
-                b = s.slice(k, 256)
-                if model is None:
-                    names, best, margin = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
-                else:
-                    scores, n = model.scores(b.column("text"))
-                    top = scores.argmax(axis=1)
-                    ordered = np.sort(scores, axis=1)
-                    some = pa.array(n == 0)
-                    names = pa.array([None if e else model.names[i] for i, e in zip(top, n == 0, strict=True)], pa.string())
-                    best = pa.array(ordered[:, -1].astype(float), mask=np.asarray(some))
-                    margin = pa.array((ordered[:, -1] - ordered[:, -2]).astype(float) if len(model.names) > 1 else ordered[:, -1].astype(float), mask=np.asarray(some))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "language", "score", "margin"])
+        for b in small_slices(batches):
+            if model is None:
+                names, best, margin = [None] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
+            else:
+                scores, n = model.scores(b.column("text"))
+                top = scores.argmax(axis=1)
+                ordered = np.sort(scores, axis=1)
+                some = pa.array(n == 0)
+                names = pa.array([None if e else model.names[i] for i, e in zip(top, n == 0, strict=True)], pa.string())
+                best = pa.array(ordered[:, -1].astype(float), mask=np.asarray(some))
+                margin = pa.array((ordered[:, -1] - ordered[:, -2]).astype(float) if len(model.names) > 1 else ordered[:, -1].astype(float), mask=np.asarray(some))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names, pa.string()), pa.array(best, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "language", "score", "margin"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _OUT)

@@ -57,3 +57,9 @@ def test_odd_rows(docs_of, rows):
     assert sorted(out, key=str) == sorted([(1, None), (2, None), (3, "de"), (None, "en"), (4, "fr"), (4, "fr")], key=str)
     assert language.fit(docs_of([])) is None and language.identify(docs_of([]), model).count() == 0
     assert [r.language for r in language.identify(docs_of([(1, "x")]), None).collect()] == [None]
+
+
+def test_rare_languages_have_training_rows(docs_of, rows):
+    many = [(i, t, "en") for i, t, l in rows if l == "en"] + [(1_000 + 7 * i, text("fr", random.Random(i)), "fr") for i in range(3)]
+    model = language.fit(docs_of(many), landmarks=10, max_train_rows=12)
+    assert model.names == ["en", "fr"]
