@@ -12,22 +12,23 @@ score(d, q) = sum over the distinct words t of q of ln(1 + (N - df + 0.5) / (df
 N and the average length are of the documents that have words. Scores are rounded to 6 places before
 ranking; ties go to the smaller doc_id. Defined results: null and empty texts, and documents without
 a word of the query, aren't results; queries that are null or without words have none; rows with
-null ids are left out; a doc_id or query id that repeats counts row by row for documents (each is a
+null ids are left out; very long texts count whole; of empty tables the result is empty; a doc_id or query id that repeats counts row by row for documents (each is a
 candidate) and once for queries with equal text; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernels import binary_rows, lookup, owners, ragged, slices, word_hashes
-from .shared import stored, tree_sum
+from .shared import Stored, stored, tree_sum
 
 _OUT = "query_id long, rank int, doc_id long, score double"
 K1, B = 1.2, 0.75
@@ -42,29 +43,44 @@ def _vector(stats: np.ndarray, terms: np.ndarray) -> tuple[float, np.ndarray]:
     return total / max(n, 1), idf
 
 
+def _impact(idf: np.ndarray, average: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The score of a term with a count in a document of a length."""
+    return lambda term, tf, length: idf[term] * (tf / (tf + K1 * (1 - B + B * length / average)))
+
+
 def top_documents(docs: DataFrame, queries: DataFrame, *, k: int = 10, block_docs: int = 256, first_blocks: int = 2, queries_at_once: int = 2_000) -> DataFrame:
-    """query_id, rank, doc_id, score: the k best documents of every query (columns query_id, text)."""
+    """query_id, rank, doc_id, score: the k best documents of every query (columns query_id, text).
+
+    The corpus is indexed once, for the words of all queries; ``queries_at_once`` of these are then asked at a time.
+    """
     spark = docs.sparkSession
     rows = sorted({(r[0], r[1]) for r in queries.where("query_id IS NOT NULL AND text IS NOT NULL").select(F.col("query_id").cast("long"), "text").collect()})
+    words, first = word_hashes(pa.array([t for _, t in rows], pa.string()))
+    index = _build(docs, np.unique(words), block_docs) if len(words) else None
+    if index is None:
+        return spark.createDataFrame([], _OUT)
+    code = np.searchsorted(index.vocabulary, words) + 1
+    asked = [(r[0], np.unique(code[first[i] : first[i + 1]])) for i, r in enumerate(rows) if first[i + 1] > first[i]]
     out = None
-    for i in range(0, len(rows), queries_at_once):
-        part = _search(docs, rows[i : i + queries_at_once], k, block_docs, first_blocks)
-        if part is not None:
-            out = part if out is None else out.union(part)
-    return spark.createDataFrame([], _OUT) if out is None else out
+    for i in range(0, len(asked), queries_at_once):
+        part = _search(spark, index, asked[i : i + queries_at_once], k, first_blocks)
+        out = part if out is None else out.union(part)
+    index.blocks.drop()
+    return out
 
 
-def _search(docs: DataFrame, rows: list[tuple[int, str]], k: int, block_docs: int, first_blocks: int) -> DataFrame | None:
-    words, first = word_hashes(pa.array([t for _, t in rows], pa.string()))
-    vocabulary = np.unique(words)
-    if not len(vocabulary):
-        return None
-    code = np.searchsorted(vocabulary, words) + 1
-    terms = [np.unique(code[first[i] : first[i + 1]]) for i in range(len(rows))]
-    ids, m = np.array([r[0] for r in rows]), len(vocabulary) + 1
-    some = [i for i in range(len(rows)) if len(terms[i])]
-    terms, ids = [terms[i] for i in some], ids[some]
-    flat, start = np.concatenate(terms), np.concatenate([[0], np.cumsum([len(t) for t in terms])[:-1]])
+@dataclass
+class Index:
+    """Blocks of documents with the largest score of each term, and what scores need of the corpus."""
+
+    vocabulary: np.ndarray
+    average: float
+    idf: np.ndarray
+    blocks: Stored
+
+
+def _build(docs: DataFrame, vocabulary: np.ndarray, block_docs: int) -> Index | None:
+    m = len(vocabulary) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batches, "text"):
@@ -94,8 +110,7 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], k: int, block_docs: in
         return None
     average, idf = _vector(stats, vocabulary)
 
-    def impact(term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return idf[term] * (tf / (tf + K1 * (1 - B + B * length / average)))
+    impact = _impact(idf, average)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, nth, held, n = TaskContext.get().partitionId(), 0, [], 0
@@ -123,6 +138,15 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], k: int, block_docs: in
     ranged = table.df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "length")
     blocks = stored(ranged.mapInArrow(block, "block long, present binary, most binary, doc_ids binary, length binary, bounds binary, terms binary, tf binary"), "blocks")
     table.drop()
+    return Index(vocabulary, average, idf, blocks)
+
+
+def _search(spark: SparkSession, index: Index, asked: list[tuple[int, np.ndarray]], k: int, first_blocks: int) -> DataFrame:
+    blocks, m, average, idf = index.blocks, len(index.vocabulary) + 1, index.average, index.idf
+    ids, terms = np.array([q for q, _ in asked]), [t for _, t in asked]
+    flat, start = np.concatenate(terms), np.concatenate([[0], np.cumsum([len(t) for t in terms])[:-1]])
+
+    impact = _impact(idf, average)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,9 +209,9 @@ def _search(docs: DataFrame, rows: list[tuple[int, str]], k: int, block_docs: in
     kth = start_hits.df.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select("q", F.col("score").alias("least"))
     rest = bounds.df.join(seeds.df.select("block", "q"), ["block", "q"], "left_anti").join(kth, "q", "left").where("least IS NULL OR bound >= least - 2e-6").select("block", "q", "bound", "least")
     hits = stored(start_hits.df.union(scored(rest)), "hits")
-    for t in (blocks, bounds, seeds, start_hits):
+    for t in (bounds, seeds, start_hits):
         t.drop()
-    names = docs.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "q int, query_id long")
+    names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "q int, query_id long")
     best = hits.df.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return best.join(names, "q").select("query_id", "rank", "doc_id", "score")
 
