@@ -6,8 +6,10 @@ partitions, and a monotone step function fitted to held-out labels turns scores
 
 Defined results: labels that are null or whose document is missing don't train; several labels of
 one document count as their mean. A null or empty text has null score and probability and isn't
-kept. Without usable labels every document with text is kept, with null score. Other columns of the
-tables are ignored by ``score`` and passed through unchanged by ``keep_good``.
+kept. Very long texts count whole. Equal texts, in repeated rows too, have equal scores; each row has its
+own result. Without usable labels every document with text is kept, with null score; of an empty
+table the result is empty. Null doc_ids are passed on. Other columns of the tables are ignored by
+``score`` and passed through unchanged by ``keep_good``.
 """
 
 from __future__ import annotations

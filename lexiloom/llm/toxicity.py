@@ -1,17 +1,20 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
-The labels tell toxic from not; the grade of a toxic document, 1 to 3, is set by how many
-occurrences it has of the words that the labels mark as toxic, cut at the thirds of the toxic
-training documents. Features are log(1 + count) of the words that tell the labels apart best (by
-log-likelihood ratio). One weight vector serves all thresholds:
+The labels tell toxic from not, so that only p_toxic is supervised. The grade of a toxic training
+document, 1 to 3, is made from its text: by how many occurrences it has of the words that the labels
+mark as toxic, cut at the thirds of the toxic training documents. Grades are thus an order of
+severity by such words, which no label confirms. Features are log(1 + count) of up to ``features`` words of
+the labelled sample that tell the labels apart (log-likelihood ratio above 6, the best ones first;
+README tells how many there are). One weight vector serves all thresholds:
 
     P(grade <= k) = 1 / (1 + exp(w x - t_k)),   t_0 < t_1 < t_2
 
 Reported are the expected grade, the likeliest one, the probability of any toxicity, and whether
 that reaches ``least``. Defined results: null labels don't train; several labels of one document
-count as the highest; texts that are null or without words have severity 0 and aren't toxic; each
-row has its result, repeated rows alike; without labels of both kinds all severities are null. Extra
-columns are ignored.
+count as the highest; texts that are null or without words have severity 0 and aren't toxic; very long
+texts count whole; of equally likely grades the lowest is reported; each row has its result, repeated
+rows alike; without labels of both kinds all severities are null, and of an empty table the result is
+empty. Null doc_ids are passed on. Extra columns are ignored.
 """
 
 from __future__ import annotations

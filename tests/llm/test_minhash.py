@@ -72,3 +72,53 @@ def test_odd_rows_and_dropping(docs_of):
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 2, 7, 8, 10, 11, 12, 20, 30, 31]
     assert minhash.near_groups(docs_of([])).count() == 0 and minhash.drop_near_copies(docs_of([])).count() == 0
     assert minhash.near_groups(docs_of([(1, "nothing like it here"), (2, "another thing over there")])).count() == 0
+
+
+@pytest.mark.parametrize("m", [150, 450])
+def test_pairs_grow_with_the_documents(spark, docs_of, monkeypatch, m):
+    """Half of each text is the same: no two belong together, but for some near copies among them, which large buckets hold too."""
+    rng = random.Random(m)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    same = " ".join(word() for _ in range(60))
+    rows = [(i, " ".join(word() for _ in range(60)) + " " + same) for i in range(m)]
+    for i in range(12):
+        w = rows[i][1].split()
+        w[10 + i] = "zz"
+        rows.append((m + i, " ".join(w)))
+    made = []
+    keep = minhash.stored
+
+    def counted(df, label):
+        table = keep(df, label)
+        if label == "pairs":
+            made.append(table.df.count())
+        return table
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    got = {r.doc_id: r.group_id for r in minhash.near_groups(docs_of(rows), small=8).collect()}
+    assert got == {**{i: i for i in range(12)}, **{m + i: i for i in range(12)}}
+    assert sum(made) <= 12 * m, made
+
+
+def test_the_exact_way_finds_links_that_large_buckets_hold(docs_of):
+    """With small=1 every mixed bucket takes it."""
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) + rng.choice("xyz")
+    same = [word() for _ in range(40)]
+    rows = []
+    for g in range(25):
+        own = [word() for _ in range(rng.randrange(20, 70))]
+        for _ in range(rng.randrange(1, 4)):
+            rows.append((len(rows), " ".join([w if rng.random() > 0.06 else word() for w in own] + same[: rng.randrange(20, 41)])))
+    want = brute(rows)
+    got = {r.doc_id: r.group_id for r in minhash.near_groups(docs_of(rows), small=1).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    for d, g in got.items():
+        assert want[d] == want[g]
+
+
+def test_names_with_dots(spark):
+    rows = [(1, "one two three four", 5), (1, "one two three four", 5), (2, "one two three four", 6), (None, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `m.x` int")
+    left = minhash.drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted((r[0] or 0, r[2]) for r in left.collect()) == [(0, 7), (1, 5)]
