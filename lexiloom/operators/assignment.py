@@ -10,26 +10,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_similarity, euclidean, literal
+from .neighbours import knn_join
 
 PLACES = 12
 
 
 def _with_topics(points: DataFrame, topics: DataFrame, key: str, vector: str) -> DataFrame:
-    return points.select(key, F.col(vector).cast("array<double>").alias("__v")).crossJoin(topics.select("topic_id", F.col("centroid").alias("__c")))
+    """Points beside all topics in one array, so that each row is judged where it is."""
+    one = topics.agg(F.sort_array(F.collect_list(F.struct("topic_id", "centroid"))).alias("__t"))
+    return points.select(key, F.col(vector).cast("array<double>").alias("__v")).crossJoin(F.broadcast(one))
+
+
+def _distances() -> Column:
+    return F.transform("__t", lambda t: F.struct(t["topic_id"].alias("topic_id"), euclidean(F.col("__v"), t["centroid"]).alias("distance")))
 
 
 def nearest_centroid(points: DataFrame, topics: DataFrame, *, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """(key, topic_id, distance, probability): the nearest centroid, ties to the smaller id; probability 1 / (1 + d^2)."""
-    d = F.round(euclidean(F.col("__v"), F.col("__c")), PLACES)
-    best = _with_topics(points, topics, key, vector).groupBy(key).agg(F.min(F.struct(d.alias("distance"), "topic_id")).alias("m"))
-    return best.select(key, "m.topic_id", "m.distance", (1 / (1 + F.col("m.distance") ** 2)).alias("probability"))
+    best = F.array_min(F.transform(_distances(), lambda t: F.struct(F.round(t["distance"], PLACES).alias("distance"), t["topic_id"].alias("topic_id"))))
+    near = _with_topics(points, topics, key, vector).select(key, best.alias("m")).where("m IS NOT NULL")
+    return near.select(key, "m.topic_id", "m.distance", (1 / (1 + F.col("m.distance") ** 2)).alias("probability"))
 
 
 def topic_probabilities(points: DataFrame, topics: DataFrame, *, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """(key, topic_id, distance, probability) of every topic, normalised to 1 for each point."""
-    d = _with_topics(points, topics, key, vector).select(key, "topic_id", euclidean(F.col("__v"), F.col("__c")).alias("distance"))
-    w = 1 / (1 + F.col("distance") ** 2)
-    return d.withColumn("probability", w / F.sum(w).over(Window.partitionBy(key)))
+    w = F.transform("d", lambda t: 1 / (1 + t["distance"] ** 2))
+    each = _with_topics(points, topics, key, vector).select(key, _distances().alias("d")).select(key, "d", F.aggregate(w, F.lit(0.0), lambda s, x: s + x).alias("s"))
+    return each.select(key, F.explode("d").alias("t"), "s").select(key, "t.topic_id", "t.distance", (1 / (1 + F.col("t.distance") ** 2) / F.col("s")).alias("probability"))
 
 
 soft_membership = topic_probabilities
@@ -37,11 +44,11 @@ soft_membership = topic_probabilities
 
 def find_topics(points: DataFrame, topics: DataFrame, *, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """(key, topic_id, probability, alternatives): the likeliest topic with the others in order."""
-    p = topic_probabilities(points, topics, key=key, vector=vector)
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("probability")).alias("minus"), "topic_id")))
-    best = p.groupBy(key).agg(ranked.alias("r"))
-    plain = F.transform("r", lambda x: F.struct(x["topic_id"].alias("topic_id"), (-x["minus"]).alias("probability")))
-    return best.select(key, plain.alias("all")).select(key, F.col("all")[0]["topic_id"].alias("topic_id"), F.col("all")[0]["probability"].alias("probability"), F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))).alias("alternatives"))
+    w = F.transform("d", lambda t: F.struct((-1 / (1 + t["distance"] ** 2)).alias("minus"), t["topic_id"].alias("topic_id")))
+    each = _with_topics(points, topics, key, vector).select(key, _distances().alias("d")).select(key, F.sort_array(w).alias("r"))
+    each = each.select(key, "r", F.aggregate("r", F.lit(0.0), lambda s, t: s - t["minus"]).alias("s")).where(F.size("r") > 0)
+    plain = F.transform("r", lambda t: F.struct(t["topic_id"].alias("topic_id"), (-t["minus"] / F.col("s")).alias("probability")))
+    return each.select(key, plain.alias("all")).select(key, F.col("all")[0]["topic_id"].alias("topic_id"), F.col("all")[0]["probability"].alias("probability"), F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))).alias("alternatives"))
 
 
 def cosine_assignment(points: DataFrame, topics: DataFrame, *, threshold: float = 0.3, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
@@ -49,8 +56,8 @@ def cosine_assignment(points: DataFrame, topics: DataFrame, *, threshold: float
 
     Confidence is min(1, (best + margin) / 2), where the margin is over the second best, or the best itself if it is alone.
     """
-    s = F.round(cosine_similarity(F.col("__v"), F.col("__c")), PLACES)
-    both = _with_topics(points, topics, key, vector).groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-s).alias("minus"), "topic_id"))).alias("r"))
+    s = F.transform("__t", lambda t: F.struct((-F.round(cosine_similarity(F.col("__v"), t["centroid"]), PLACES)).alias("minus"), t["topic_id"].alias("topic_id")))
+    both = _with_topics(points, topics, key, vector).select(key, F.sort_array(s).alias("r")).where(F.size("r") > 0)
     best = -F.col("r")[0]["minus"]
     second = F.when(F.size("r") > 1, -F.try_element_at("r", F.lit(2))["minus"])
     margin = F.coalesce(best - second, best)
@@ -69,6 +76,12 @@ def search(points: DataFrame, query: list[float], top_k: int = 10, *, key: str =
     return points.where(F.col(vector).isNotNull()).select(key, s.alias("similarity")).orderBy(F.desc("similarity"), key).limit(top_k)
 
 
+def search_all(queries: DataFrame, points: DataFrame, top_k: int = 10, *, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, key, similarity) of the top_k points by cosine of every query: blocks of queries against blocks of points."""
+    near = knn_join(queries, points, top_k, key=key, vector=vector, metric="cosine")
+    return near.select(F.col("src").alias("query_id"), "rank", F.col("dst").alias(key), (1 - F.col("dist")).alias("similarity"))
+
+
 def representatives(points: DataFrame, topics: DataFrame, *, count: int = 3, key: str = "doc_id", label: str = "label", vector: str = "embedding") -> DataFrame:
     """(topic_id, rank, key, distance): the members nearest to each topic's centroid."""
     d = F.round(euclidean(F.col(vector), F.col("centroid")), 9)

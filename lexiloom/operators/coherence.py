@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 
 @dataclass(frozen=True)
 class CoherenceConfig:
@@ -37,33 +39,57 @@ def windows(tokens: DataFrame, config: CoherenceConfig = CoherenceConfig()) -> D
     return some.select(F.explode(F.transform(starts, lambda i: F.array_distinct(F.slice("tokens", i + 1, config.window)))).alias("words"))
 
 
-def _known_windows(tokens: DataFrame, terms: DataFrame, config: CoherenceConfig) -> tuple[DataFrame, DataFrame]:
-    """Windows cut to the terms that are asked for, and the number of all windows.
+def window_total(tokens: DataFrame, config: CoherenceConfig = CoherenceConfig()) -> DataFrame:
+    """One row (total): the number of windows."""
+    n = F.size("tokens")
+    return tokens.agg(F.coalesce(F.sum(F.when(n > 0, F.greatest(n - config.window + 1, F.lit(1)) if config.sliding else F.lit(1)).cast("long")), F.lit(0)).alias("total"))
+
+
+def _hits(tokens: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, term, pos, last): where the asked terms are, and where the document's last full window begins at a width of one."""
+    each = tokens.select(key, F.size("tokens").alias("last"), F.posexplode("tokens").alias("pos", "term"))
+    return each.join(terms.select("term").distinct(), "term").select(key, "term", "pos", "last")
+
 
-    Tokens that nothing asks for become null before windows are formed, so that they count for width
-    but never are exploded.
+def cooccurrence(tokens: DataFrame, terms: DataFrame, config: CoherenceConfig = CoherenceConfig(), key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """word counts (term, n), pair counts (a, b, n) with a < b, and the number of windows (total), for given terms.
+
+    Windows aren't formed: a term at p lies in the windows that begin at p - width + 1 to p, two terms in
+    those that both lie in, and how many windows hold any of these is the length of a union of such
+    intervals. Only occurrences of given terms are shuffled. Each row has a key of its own.
     """
-    n = F.size("tokens")
-    total = tokens.agg(F.coalesce(F.sum(F.when(n > 0, F.greatest(n - config.window + 1, F.lit(1)) if config.sliding else F.lit(1)).cast("long")), F.lit(0)).alias("total"))
-    # keywords are some dozens for each topic
-    asked = F.broadcast(terms.select("term").distinct().agg(F.collect_set("term").alias("asked")))
-    marked = tokens.crossJoin(asked).select(F.transform("tokens", lambda t: F.when(F.array_contains("asked", t), t)).alias("tokens")).where(F.exists("tokens", lambda t: t.isNotNull()))
-    inside = windows(marked, config).select(F.array_compact("words").alias("words")).where(F.size("words") > 0)
-    return inside, total
-
-
-def cooccurrence(tokens: DataFrame, terms: DataFrame, config: CoherenceConfig = CoherenceConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """word counts (term, n), pair counts (a, b, n) with a < b, and the number of windows (total), for given terms."""
-    inside, total = _known_windows(tokens, terms, config)
-    # equal windows, of which neighbours yield many, are counted once
-    inside = inside.groupBy(F.sort_array("words").alias("words")).agg(F.count("*").alias("times"))
-    words = inside.select(F.explode("words").alias("term"), "times").groupBy("term").agg(F.sum("times").alias("n"))
-    many = inside.where(F.size("words") > 1)
-    tails = F.flatten(F.transform("words", lambda x, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = many.select(F.explode(tails).alias("p"), "times").groupBy("p.a", "p.b").agg(F.sum("times").alias("n"))
+    total = window_total(tokens, config)
+    if not config.sliding:
+        found = _hits(tokens, terms, key).select(key, "term").distinct()
+        words = found.groupBy("term").agg(F.count("*").alias("n"))
+        sets = found.groupBy(key).agg(F.sort_array(F.collect_list("term")).alias("words"))
+        tails = F.flatten(F.transform("words", lambda x, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        pairs = sets.where(F.size("words") > 1).select(F.explode(tails).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+        return words, pairs, total
+    width = config.window
+    # one shuffle by document serves all windows below
+    hits = checkpointed(_hits(tokens, terms, key)).repartition(key)
+    hits = hits.withColumn("last", F.greatest(F.col("last") - width, F.lit(0)))
+    begin = lambda p: F.greatest(F.col(p) - (width - 1), F.lit(0))
+    end = lambda p: F.least(F.col(p), F.col("last"))
+    single = hits.select(key, "term", begin("pos").alias("lo"), end("pos").alias("hi"))
+    words = _covered(single, [key, "term"]).groupBy("term").agg(F.sum("gain").alias("n"))
+    order = Window.partitionBy(key).orderBy("pos").rowsBetween(1, max(width - 1, 1))
+    ahead = hits.withColumn("o", F.collect_list(F.struct(F.col("pos").alias("q"), F.col("term").alias("other"))).over(order))
+    ahead = ahead.select(key, "term", "pos", "last", F.explode("o").alias("o")).select(key, "term", "pos", "last", "o.q", "o.other")
+    near = ahead.where((F.col("q") - F.col("pos") < width) & (F.col("term") != F.col("other")))
+    both = near.select(key, F.least("term", "other").alias("a"), F.greatest("term", "other").alias("b"), begin("q").alias("lo"), end("pos").alias("hi"))
+    pairs = _covered(both, [key, "a", "b"]).groupBy("a", "b").agg(F.sum("gain").alias("n"))
     return words, pairs, total
 
 
+def _covered(intervals: DataFrame, by: list[str]) -> DataFrame:
+    """Intervals lo to hi with gain: how many of its places those before it don't hold."""
+    before = F.max("hi").over(Window.partitionBy(*by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    gain = F.col("hi") - F.greatest(F.col("lo"), F.coalesce(before + 1, F.col("lo"))) + 1
+    return intervals.select(*by, F.greatest(gain, F.lit(0)).cast("long").alias("gain"))
+
+
 def npmi_pairs(pairs_asked: DataFrame, words: DataFrame, pairs: DataFrame, total: DataFrame, epsilon: float = 1e-12) -> DataFrame:
     """The asked pairs (columns word1, word2 and others) with npmi; null where a word never occurs, or both are one."""
     e, t = F.lit(epsilon), F.col("total")

@@ -1,14 +1,15 @@
 """Density clustering: core distances, minimum spanning tree of mutual reachability, hierarchy and extraction.
 
 The spanning tree is exact and distributed: every edge of it is in the tree of some pair of blocks of
-points, so that the trees of all block pairs, a few edges each, are joined by one last pass. The
-hierarchy is built from its n - 1 edges in the driver.
+points. The edges of a task's block pairs are reduced to their forest there, and forests are joined
+``FAN`` at a time, so that a task holds FAN (n - 1) edges at most and the driver receives the n - 1 of the
+tree. The hierarchy is built from these in the driver. Training can stop between these steps.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from . import neighbours
 from .neighbours import distances
 from .lineage import checkpointed
+from .reduction import Builder
+from ..functions.vectors import METRICS
 
 SMALLEST = 1e-12
 
@@ -64,20 +67,84 @@ def prim(weights: np.ndarray) -> list[tuple[int, int, float]]:
     return edges
 
 
+def forest(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which edges make up the minimum spanning forest of a graph, ties in order of the ends: Boruvka's rounds over arrays."""
+    order = np.lexsort((dst, src, weight))
+    ids, ends = np.unique(np.concatenate([src[order], dst[order]]), return_inverse=True)
+    a, b = ends[: len(order)], ends[len(order) :]
+    n, part, chosen, live = len(ids), np.arange(len(ids)), np.zeros(len(order), bool), np.arange(len(order))
+    while True:
+        x, y = part[a[live]], part[b[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            return order[chosen]
+        best = np.full(n, len(order))
+        np.minimum.at(best, x, live)
+        np.minimum.at(best, y, live)
+        own = np.flatnonzero(best < len(order))
+        edge = best[own]
+        chosen[edge] = True
+        other = np.where(part[a[edge]] == own, part[b[edge]], part[a[edge]])
+        parent = np.arange(n)
+        parent[own] = other
+        mutual = own[(parent[other] == own) & (own < other)]
+        parent[mutual] = mutual
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        part = parent[part]
+
+
 def kruskal(ids: np.ndarray, edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """The spanning tree that a set of edges (of ids) contains; ties in order of the ids."""
-    place = {int(x): i for i, x in enumerate(ids)}
-    forest = UnionFind(len(ids))
-    return [e for e in sorted({(min(a, b), max(a, b), w) for a, b, w in edges}, key=lambda e: (e[2], e[0], e[1])) if forest.union(place[e[0]], place[e[1]])]
+    if not edges:
+        return []
+    a, b, w = (np.array(x) for x in zip(*edges, strict=True))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    kept = forest(a, b, w)
+    kept = kept[np.lexsort((b[kept], a[kept], w[kept]))]
+    return list(zip(a[kept].tolist(), b[kept].tolist(), w[kept].tolist(), strict=True))
+
+
+#: So many forests are joined by one task.
+FAN = 8
+#: Edges that a task gathers before it reduces them.
+GATHERED = 1 << 20
+_EDGES = "src long, dst long, weight double"
+
+
+def _edge_batch(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(weight, pa.float64())], ["src", "dst", "weight"])
+
+
+def _reduced(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The forest of edges that come in parts."""
+    held, n = [], 0
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def join(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+        kept = forest(a, b, w)
+        return a[kept], b[kept], w[kept]
+
+    for part in batches:
+        held.append(part)
+        n += len(part[0])
+        if n > 2 * GATHERED:
+            held = [join(held)]
+            n = max(0, len(held[0][0]) - GATHERED)
+    return join(held) if held else empty
 
 
-def spanning_tree(points: DataFrame, min_samples: int, *, key: str = "id", vector: str = "embedding", size: int = 512) -> DataFrame:
-    """(src, dst, weight): edges of the mutual reachability graph, of which the minimum spanning tree is one part."""
-    cores = neighbours.core_distances(points, min_samples, key=key, vector=vector)
+def spanning_tree(points: DataFrame, min_samples: int, *, key: str = "id", vector: str = "embedding", size: int = 512, metric: str = "euclidean", should_stop: Callable[[], bool] = lambda: False) -> DataFrame:
+    """(src, dst, weight): the minimum spanning tree of the mutual reachability graph, src < dst."""
+    cores = checkpointed(neighbours.core_distances(points, min_samples, key=key, vector=vector, metric=metric))
     some = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).join(cores, "id")
-    wide = neighbours.packed(some.select("id", F.concat(F.array("core"), "v").alias("embedding")), size=size)
+    wide = checkpointed(neighbours.packed(some.select("id", F.concat(F.array("core"), "v").alias("embedding")), size=size))
+    if should_stop():
+        raise Stopped("spanning tree")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for r in batch.to_pylist():
                 i, a = neighbours._matrix(r["ids"], r["rows"])
@@ -86,17 +153,38 @@ def spanning_tree(points: DataFrame, min_samples: int, *, key: str = "id", vecto
                     i, a = np.concatenate([i, j]), np.concatenate([a, b])
                 order = np.argsort(i, kind="stable")
                 i, a = i[order], a[order]
-                mrd = np.maximum(np.round(distances(a[:, 1:], a[:, 1:]), neighbours.PLACES), np.maximum(a[:, :1], a[None, :, 0]))
+                mrd = np.maximum(np.round(distances(a[:, 1:], a[:, 1:], metric), neighbours.PLACES), np.maximum(a[:, :1], a[None, :, 0]))
                 e = prim(mrd)
-                yield pa.RecordBatch.from_arrays([pa.array([i[x] for x, _, _ in e], pa.int64()), pa.array([i[y] for _, y, _ in e], pa.int64()), pa.array([w for _, _, w in e], pa.float64())], ["src", "dst", "weight"])
+                x, y = np.array([i[x] for x, _, _ in e], np.int64), np.array([i[y] for _, y, _ in e], np.int64)
+                yield np.minimum(x, y), np.maximum(x, y), np.array([w for _, _, w in e], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _edge_batch(*_reduced(trees(batches)))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _edge_batch(*_reduced((b.column("src").to_numpy(), b.column("dst").to_numpy(), b.column("weight").to_numpy()) for b in batches))
+
+    # blocks are few rows of much work each: they are spread before they are paired
+    parts = points.sparkSession.sparkContext.defaultParallelism
+    both = wide.repartition(parts, "block").crossJoin(wide.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("rows").alias("rows2"))).where("block <= block2")
+    edges, joined_up = checkpointed(both.mapInArrow(run, _EDGES).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts)))), False
+    while parts > 1 or not joined_up:
+        joined_up = True
+        if should_stop():
+            raise Stopped("spanning tree")
+        parts = -(-parts // FAN)
+        grouped = edges.select("src", "dst", "weight", F.floor(F.col("part") / FAN).cast("int").alias("part"))
+        joined = grouped.repartition(parts, "part").sortWithinPartitions("part").drop("part").mapInArrow(join, _EDGES)
+        edges = checkpointed(joined.withColumn("part", F.spark_partition_id()))
+    return edges.select("src", "dst", "weight")
 
-    both = wide.crossJoin(wide.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("rows").alias("rows2"))).where("block <= block2")
-    edges = both.mapInArrow(run, "src long, dst long, weight double")
-    return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").distinct()
+
+class Stopped(RuntimeError):
+    """Training was asked to stop."""
 
 
 def minimum_spanning_tree(points: DataFrame, min_samples: int, **options: object) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
-    """ids and edges of the tree, in the driver."""
+    """ids and the n - 1 edges of the tree, in the driver."""
     key = options.get("key", "id")
     ids = np.sort(points.select(F.col(key).cast("long")).toPandas().iloc[:, 0].to_numpy())
     e = spanning_tree(points, min_samples, **options).toPandas()
@@ -269,6 +357,7 @@ class HDBSCAN:
     allow_single: bool = False
     metric: str = "euclidean"
     stability: str = "standard"
+    should_stop: Callable[[], bool] | None = field(default=None, repr=False, compare=False)
     assignment: DataFrame | None = field(default=None, repr=False)
     centroids: DataFrame | None = field(default=None, repr=False)
     mean_core: float = 0.0
@@ -278,15 +367,15 @@ class HDBSCAN:
 
     def fit(self, points: DataFrame, key: str = "id", vector: str = "embedding") -> HDBSCAN:
         """assignment: (key, label, probability, outlier_score); -1 is no cluster."""
-        if self.min_cluster_size < 2 or self.metric != "euclidean":
-            raise ValueError("min_cluster_size must be 2 or more, and the metric euclidean")
+        if self.min_cluster_size < 2 or self.metric not in METRICS:
+            raise ValueError(f"min_cluster_size must be 2 or more, and the metric one of {sorted(METRICS)}")
         spark = points.sparkSession
         n, some = points.count(), self.min_samples or self.min_cluster_size
-        cores = neighbours.core_distances(points, some, key=key, vector=vector)
+        cores = neighbours.core_distances(points, some, key=key, vector=vector, metric=self.metric)
         if n < 2 or n < self.min_cluster_size:
             ids, label, strength, tree, nodes, edges = points.select(F.col(key).cast("long")).toPandas().iloc[:, 0].to_numpy(), np.full(n, -1), np.zeros(n), None, None, []
         else:
-            ids, edges = minimum_spanning_tree(points, some, key=key, vector=vector)
+            ids, edges = minimum_spanning_tree(points, some, key=key, vector=vector, metric=self.metric, should_stop=self.should_stop or (lambda: False))
             nodes = hierarchy(n, [(int(np.searchsorted(ids, a)), int(np.searchsorted(ids, b)), w) for a, b, w in edges])
             tree = condense(nodes, self.min_cluster_size)
             label, strength = extract(n, tree, select_clusters(tree, self.method, self.allow_single, self.epsilon, self.stability))
@@ -317,22 +406,9 @@ class HDBSCAN:
         return pd.DataFrame(rows, columns=["node_id", "parent_id", "children", "birth", "death", "size"])
 
 
-class HDBSCANBuilder:
-    def __init__(self) -> None:
-        self._engine = HDBSCAN()
-
-    def __getattr__(self, name: str):  # noqa: ANN204
-        if name not in HDBSCAN.__dataclass_fields__:
-            raise AttributeError(name)
-
-        def setter(value: object) -> HDBSCANBuilder:
-            self._engine = replace(self._engine, **{name: value})
-            return self
-
-        return setter
-
-    def build(self) -> HDBSCAN:
-        return self._engine
+class HDBSCANBuilder(Builder):
+    def __init__(self, **settings: object) -> None:
+        super().__init__(HDBSCAN, **settings)
 
 
 def hdbscan(points: DataFrame, min_cluster_size: int = 5, **settings: object) -> DataFrame:

@@ -3,16 +3,21 @@
 Vectors are packed into blocks; a pair of blocks is one matrix product, so that n rows cost n / size
 squared block pairs, spread over all tasks, and only each row's best candidates of a block pair are
 sent on. Ties of the rounded distance go to the smaller id.
+
+BlockIndex packs near points together and skips pairs of blocks whose centres and radii show that they
+hold no neighbour: exact where a metric has the triangle inequality, and as fast as the data are
+clustered. Asked with ``probes`` it visits only so many blocks, and is approximate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import checkpointed
@@ -54,8 +59,14 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.nda
     return square if metric == "squared_euclidean" else np.sqrt(square)
 
 
-def _pairs(left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], metric: str, same: bool) -> DataFrame:
+def _pairs(left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], metric: str, same: bool, exclude_zero: bool = False) -> DataFrame:
     """(src, dst, dist) of the pairs that ``keep`` selects from each block pair."""
+    both = left.select("ids", "rows").crossJoin(right.select(F.col("ids").alias("ids2"), F.col("rows").alias("rows2")))
+    return _measured(both, keep, metric, same, exclude_zero)
+
+
+def _measured(both: DataFrame, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], metric: str, same: bool, exclude_zero: bool = False) -> DataFrame:
+    """As _pairs, of given pairs of blocks (ids, rows, ids2, rows2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,11 +75,12 @@ def _pairs(left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray, np.nda
                 d = np.round(distances(a, b, metric), PLACES)
                 if same:
                     d[i[:, None] == j[None, :]] = np.inf
+                if exclude_zero:
+                    d[d == 0] = np.inf
                 x, y = keep(d, i, j)
                 yield pa.RecordBatch.from_arrays([pa.array(i[x]), pa.array(j[y]), pa.array(d[x, y])], ["src", "dst", "dist"])
 
-    both = left.select("ids", "rows").crossJoin(right.select(F.col("ids").alias("ids2"), F.col("rows").alias("rows2")))
-    return both.mapInArrow(run, "src long, dst long, dist double")
+    return both.select("ids", "rows", "ids2", "rows2").mapInArrow(run, "src long, dst long, dist double")
 
 
 def _best(d: np.ndarray, k: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,13 +90,132 @@ def _best(d: np.ndarray, k: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.nonzero((d <= limit[:, None]) & np.isfinite(d))
 
 
-def knn_join(queries: DataFrame, points: DataFrame, k: int, *, key: str = "id", vector: str = "embedding", metric: str = "euclidean", same: bool = False, size: int = BLOCK) -> DataFrame:
-    """(src, rank, dst, dist): the k nearest points of each query; with ``same``, pairs of equal id are left out."""
-    candidates = _pairs(packed(queries, key, vector, size), packed(points, key, vector, size), lambda d, i, j: _best(d, k, j), metric, same)
+def knn_join(queries: DataFrame, points: DataFrame, k: int, *, key: str = "id", vector: str = "embedding", metric: str = "euclidean", same: bool = False, size: int = BLOCK, exclude_zero: bool = False) -> DataFrame:
+    """(src, rank, dst, dist): the k nearest points of each query; with ``same``, pairs of equal id are left out, with ``exclude_zero`` those at no distance."""
+    candidates = _pairs(packed(queries, key, vector, size), packed(points, key, vector, size), lambda d, i, j: _best(d, k, j), metric, same, exclude_zero)
+    return _ranked(candidates, k)
+
+
+def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
     return candidates.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "rank", "dst", "dist")
 
 
+@dataclass
+class BlockIndex:
+    """Points in blocks (block, ids, rows, centre, radius, n) of up to some ``size`` near ones.
+
+    Centres are drawn from a sample of at most ``sample`` points by hash, at most ``CENTRES`` of them; every
+    point is in the block of its nearest centre, of which crowded ones have several.
+    """
+
+    blocks: DataFrame
+    centres: np.ndarray
+    size: int
+    key: str = "id"
+    vector: str = "embedding"
+    metric: str = "euclidean"
+
+    @classmethod
+    def build(cls, points: DataFrame, *, key: str = "id", vector: str = "embedding", metric: str = "euclidean", size: int = BLOCK, sample: int = 50_000, seed: int = 1) -> BlockIndex:
+        some = _vectors(points, key, vector)
+        n = some.count()
+        cells = min(max(1, -(-n // size)), CENTRES)
+        drawn = some.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(min(sample, cells)).collect()
+        centres = np.array([r["v"] for r in drawn], float).reshape(len(drawn), -1)
+        return cls(checkpointed(_clustered(some, centres, metric, size)), centres, size, key, vector, metric)
+
+    def _visits(self, asked: DataFrame, k: int | None, radius: float | None, probes: int | None) -> DataFrame:
+        """(q, block): which blocks each block of queries has to be compared with."""
+        a = asked.select(F.col("block").alias("q"), F.col("centre").alias("c1"), F.col("radius").alias("r1"))
+        b = self.blocks.select("block", F.col("centre").alias("c2"), F.col("radius").alias("r2"), "n")
+        apart = _apart(self.metric)
+        pairs = a.crossJoin(b).select("q", "block", "n", apart(F.col("c1"), F.col("c2")).alias("d"), (F.col("r1") + F.col("r2")).alias("r"))
+        if probes is not None:
+            near = F.row_number().over(Window.partitionBy("q").orderBy("d", "block"))
+            return pairs.withColumn("nth", near).where(F.col("nth") <= probes).select("q", "block")
+        if self.metric not in TRIANGLE:
+            return pairs.select("q", "block")
+        if radius is not None:
+            limit = pairs.withColumn("limit", F.lit(float(radius)))
+        else:
+            # the k + 1 nearest are no farther than the far end of the nearest blocks that hold so many
+            reach = Window.partitionBy("q").orderBy(F.col("d") + F.col("r"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            held = pairs.withColumn("held", F.sum("n").over(reach))
+            far = held.where(F.col("held") > k).groupBy("q").agg(F.min(F.col("d") + F.col("r")).alias("limit"))
+            limit = pairs.join(far, "q", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+        return limit.where(F.col("d") - F.col("r") <= F.col("limit") + 1e-6).select("q", "block")
+
+    def _compare(self, queries: DataFrame, keep: Callable, k: int | None, radius: float | None, probes: int | None, same: bool, exclude_zero: bool) -> DataFrame:
+        asked = checkpointed(_clustered(_vectors(queries, self.key, self.vector), self.centres, self.metric, self.size))
+        visits = self._visits(asked, k, radius, probes)
+        both = visits.join(asked.select(F.col("block").alias("q"), "ids", "rows"), "q").join(self.blocks.select("block", F.col("ids").alias("ids2"), F.col("rows").alias("rows2")), "block")
+        return _measured(both, keep, self.metric, same, exclude_zero)
+
+    def query(self, queries: DataFrame, k: int, *, probes: int | None = None, same: bool = False, exclude_zero: bool = False) -> DataFrame:
+        """(src, rank, dst, dist) of the k nearest; with ``probes``, of those in so many blocks for each block of queries."""
+        return _ranked(self._compare(queries, lambda d, i, j: _best(d, k, j), k if not exclude_zero else None, float("inf") if exclude_zero else None, probes, same, exclude_zero), k)
+
+    def query_radius(self, queries: DataFrame, radius: float, *, same: bool = False) -> DataFrame:
+        """(src, dst, dist) within a radius."""
+        return self._compare(queries, lambda d, i, j: np.nonzero(d <= radius), None, radius, None, same, False)
+
+    def statistics(self) -> DataFrame:
+        return self.blocks.agg(F.count("*").alias("blocks"), F.sum("n").alias("points"), F.max("n").alias("largest"), F.avg("radius").alias("mean_radius"))
+
+
+#: Centres of an index at most; metrics with the triangle inequality.
+CENTRES = 4_096
+TRIANGLE = {"euclidean", "manhattan"}
+
+
+def _vectors(points: DataFrame, key: str, vector: str) -> DataFrame:
+    some = points.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return some.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+
+def _apart(metric: str) -> Callable[[Column, Column], Column]:
+    from ..functions.vectors import METRICS
+
+    return METRICS[metric]
+
+
+def _clustered(some: DataFrame, centres: np.ndarray, metric: str, size: int) -> DataFrame:
+    """(block, ids, rows, centre, radius, n) of (id, v): by nearest centre, in parts of some ``size`` rows."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+                cell = distances(x, centres, metric).argmin(axis=1) if len(centres) else np.zeros(b.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(cell.astype(np.int32))], ["id", "v", "cell"])
+
+    placed = checkpointed(some.mapInArrow(nearest, "id long, v array<double>, cell int"))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("parts"))  # a row a centre
+    spread = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+
+    def pack(keys: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id", kind="stable")
+        x = np.stack(f["v"].to_list()).astype(float)
+        middle = x.mean(axis=0)
+        return pd.DataFrame({"block": [int(keys[0]) << 32 | int(keys[1])], "ids": [f["id"].to_numpy(np.int64).tobytes()], "rows": [x.tobytes()], "centre": [middle], "radius": [float(distances(middle[None], x, metric).max())], "n": [len(f)]})
+
+    return spread.groupBy("cell", "part").applyInPandas(pack, "block long, ids binary, rows binary, centre array<double>, radius double, n long")
+
+
+def knn_strategy(queries: int, points: int, size: int = BLOCK) -> str:
+    """"blocks" (every block of queries with every block of points) up to some 16 million block pairs' worth of rows, "index" beyond."""
+    return "blocks" if queries * points <= (4_096 * size) ** 2 // 1_024 else "index"
+
+
+def hybrid_knn(queries: DataFrame, points: DataFrame, k: int, **options: object) -> DataFrame:
+    """knn_join() or, where knn_strategy() says so, BlockIndex; both are exact and give the same rows."""
+    if knn_strategy(queries.count(), points.count()) == "blocks":
+        return knn_join(queries, points, k, **options)
+    own = {x: options[x] for x in ("key", "vector", "metric", "size") if x in options}
+    return BlockIndex.build(points, **own).query(queries, k, same=bool(options.get("same", False)))
+
+
 def knn_graph(points: DataFrame, k: int, **options: object) -> DataFrame:
     """The k nearest other points of each point."""
     return knn_join(points, points, k, same=True, **options)
@@ -101,9 +232,12 @@ def pairwise(points: DataFrame, *, key: str = "id", vector: str = "embedding", m
     return _pairs(b, b, lambda d, i, j: np.nonzero(i[:, None] < j[None, :]), metric, True)
 
 
-def core_distances(points: DataFrame, min_samples: int, *, key: str = "id", vector: str = "embedding", size: int = BLOCK) -> DataFrame:
-    """(id, core): the distance to the min_samples-th other point, or the farthest if there are fewer; 0 of a single point."""
-    near = knn_graph(points, max(1, min_samples), key=key, vector=vector, size=size)
+def core_distances(points: DataFrame, min_samples: int, *, key: str = "id", vector: str = "embedding", size: int = BLOCK, metric: str = "euclidean", exclude_zero: bool = False) -> DataFrame:
+    """(id, core): the distance to the min_samples-th other point, or the farthest if there are fewer; 0 of a single point.
+
+    exclude_zero: points at no distance don't count, as in batch kernels that can't tell them from the point itself.
+    """
+    near = knn_graph(points, max(1, min_samples), key=key, vector=vector, size=size, metric=metric, exclude_zero=exclude_zero)
     cores = near.groupBy(F.col("src").alias("id")).agg(F.max("dist").alias("core"))
     return points.select(F.col(key).cast("long").alias("id")).join(cores, "id", "left").select("id", F.coalesce("core", F.lit(0.0)).alias("core"))
 
@@ -134,15 +268,14 @@ def graph_statistics(graph: DataFrame) -> DataFrame:
     return graph.agg(F.count_distinct("src").alias("nodes"), F.count("*").alias("edges"), F.min("dist").alias("min_dist"), F.max("dist").alias("max_dist"), F.avg("dist").alias("mean_dist"))
 
 
-def connected_components(graph: DataFrame, nodes: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id that can be reached; pointers are shortened each round, so that rounds grow with the logarithm of the diameter."""
+def connected_components(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that can be reached; pointers are shortened each round, until nothing changes."""
     edges = checkpointed(graph.select("src", "dst").union(graph.select("dst", "src")).where("src != dst").distinct())
     labels = checkpointed(nodes.select(F.col(nodes.columns[0]).cast("long").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(labels, edges["dst"] == labels["id"]).groupBy("src").agg(F.min("component").alias("c"))
         step = labels.join(near, labels["id"] == near["src"], "left").select("id", F.least("component", "c").alias("m"), "component")
         jump = checkpointed(step.join(labels.toDF("m", "mm"), "m", "left").select("id", F.least("m", "mm").alias("new"), "component"))
         labels = jump.select("id", F.col("new").alias("component"))
         if jump.where("new != component").isEmpty():
-            break
-    return labels
+            return labels

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from typing import Protocol
 
@@ -153,6 +153,22 @@ def epochs_per_edge(edges: DataFrame, epochs: int) -> DataFrame:
     return edges.crossJoin(F.broadcast(top)).withColumn("epochs", epochs * F.col("weight") / F.col("__top")).drop("__top")
 
 
+def edges_above(edges: DataFrame, threshold: float) -> DataFrame:
+    return edges.where(F.col("weight") > threshold)
+
+
+def membership(edges: DataFrame, src: int, dst: int) -> DataFrame:
+    """One row (weight) of an edge, 0 if there is none."""
+    return edges.where((F.col("src") == src) & (F.col("dst") == dst)).agg(F.coalesce(F.max("weight"), F.lit(0.0)).alias("weight"))
+
+
+def fuzzy_statistics(edges: DataFrame) -> DataFrame:
+    """One row: edges, their total weight, and its least, largest and mean; 0 of none."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    w = F.col("weight")
+    return edges.agg(F.count("*").alias("edges"), zero(F.sum(w)).alias("total"), zero(F.min(w)).alias("min"), zero(F.max(w)).alias("max"), zero(F.avg(w)).alias("mean"))
+
+
 def curve(min_dist: float) -> tuple[float, float]:
     """a and b of 1 / (1 + a d^2b), fitted to a step at min_dist with an exponential tail, by Gauss-Newton on the logarithms."""
     x = np.linspace(0.01, 3, 300)
@@ -188,12 +204,18 @@ def scaled_layout(y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return np.clip((y - y.mean(axis=0)) / (3 * spread) * 10, -10, 10) + rng.uniform(-1e-4, 1e-4, y.shape)
 
 
-def optimise_layout(y: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, *, epochs: int, rate: float = 1.0, min_dist: float = 0.1, negatives: int = 5, clip: float = 4.0, decay: str = "linear", seed: int = 42) -> np.ndarray:
-    """Stochastic gradient descent, all edges of an epoch at once: neighbours attract, random others repel."""
-    rng, (a, b) = np.random.default_rng(seed), curve(min_dist)
+def optimise_layout(y: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, *, epochs: int, rate: float = 1.0, min_dist: float = 0.1, negatives: int = 5, clip: float = 4.0, decay: str = "linear", seed: int = 42, first: int = 0, last: int | None = None) -> np.ndarray:
+    """Stochastic gradient descent, all edges of an epoch at once: neighbours attract, random others repel.
+
+    An edge is drawn in an epoch with its share of the largest weight, so that it comes to epochs_per_edge()
+    on average. Epochs ``first`` to ``last`` are run; each draws by its own seed, so that a layout which is
+    interrupted and resumed is the same.
+    """
+    a, b = curve(min_dist)
     chance = weight / weight.max()
     y = y.copy()
-    for e in range(epochs):
+    for e in range(first, epochs if last is None else min(last, epochs)):
+        rng = np.random.default_rng([seed, e])
         alpha = learning_rate(rate, e, epochs, decay)
         on = rng.random(len(src)) < chance
         i, j = src[on], dst[on]
@@ -214,9 +236,38 @@ def optimise_layout(y: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.
     return y
 
 
+def _one_task(edges: DataFrame, start: DataFrame, lay: Callable) -> DataFrame:
+    """A layout of edges (row, col, value) and places (id, start), which are of bounded number."""
+    one = lambda t: t.withColumn("__one", F.lit(1)).groupBy("__one")
+    return one(edges).cogroup(one(start)).applyInPandas(lay, "id long, embedding array<double>")
+
+
+def _arrays(e: pd.DataFrame, p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and places in order of id, and the edges by position."""
+    p, e = p.sort_values("id"), e.sort_values(["row", "col"])
+    ids = p["id"].to_numpy()
+    return ids, np.stack(p["start"].to_list()), np.searchsorted(ids, e["row"]), np.searchsorted(ids, e["col"]), e["value"].to_numpy()
+
+
+def _layer(options: dict, first: int, last: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """What runs epochs first to last in the one task."""
+
+    def lay(keys: tuple, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        ids, y, i, j, w = _arrays(e, p)
+        return pd.DataFrame({"id": ids, "embedding": list(optimise_layout(y, i, j, w, **options, first=first, last=last))})
+
+    return lay
+
+
 @dataclass
 class UMAP:
-    """Layout of the fuzzy neighbour graph. Graph and weights are distributed; the layout is one task, of at most ``most`` points."""
+    """Layout of the fuzzy neighbour graph. Graph and weights are distributed; the layout is a task of at most ``most`` points.
+
+    Of a larger table ``most`` points, chosen by hash of their id, are laid out, and the others placed among
+    them as new points are. "spectral" starts are computed for up to 10,000 points and random ones beyond.
+    With ``segment`` the layout is stored each so many epochs, and should_stop() is asked in between; a fit
+    that was stopped holds ``layout`` and ``epoch``, and resume() goes on there.
+    """
 
     components: int = 15
     k: int = 15
@@ -229,40 +280,71 @@ class UMAP:
     decay: str = "linear"
     seed: int = 42
     most: int = 50_000
+    segment: int | None = None
+    should_stop: Callable[[], bool] | None = field(default=None, repr=False, compare=False)
     layout: DataFrame | None = field(default=None, repr=False)
     trained: DataFrame | None = field(default=None, repr=False)
+    edges: DataFrame | None = field(default=None, repr=False)
+    epoch: int = 0
+
+    @classmethod
+    def preset(cls, name: str) -> UMAP:
+        """default; fast: few neighbours and epochs; quality: many; clustering: tight, for density clustering; visualisation: two dimensions."""
+        return {
+            "default": cls(),
+            "fast": cls(k=10, epochs=100),
+            "quality": cls(k=30, epochs=500, initialization="spectral"),
+            "clustering": cls(k=30, min_dist=0.0),
+            "visualisation": cls(2, min_dist=0.1),
+        }[name]
+
+    @property
+    def finished(self) -> bool:
+        return self.layout is not None and self.epoch >= self.epochs
+
+    def _epochs(self, n: int) -> int:
+        return self.epochs or (500 if n <= 200 else 200 if n <= 10_000 else 100)
 
     def fit(self, points: DataFrame, key: str = "id", vector: str = "embedding") -> UMAP:
-        some = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("embedding"))
-        n = some.count()
+        every = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("embedding"))
+        n = every.count()
         if n < 2:
             raise ValueError("UMAP needs two points or more")
+        some = every
         if n > self.most:
-            raise ValueError(f"UMAP lays out {self.most} points at most; reduce by PCA")
+            some, n = checkpointed(every.orderBy(F.xxhash64("id", F.lit(self.seed)), "id").limit(self.most)), self.most
         k = min(self.k, n - 1)
         weights = fuzzy_weights(neighbours.knn_graph(some, k, metric=self.metric), k)
         from ..functions.sparse import fuzzy_union
 
-        edges = fuzzy_union(weights.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value")))
+        edges = checkpointed(fuzzy_union(weights.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value"))))
         start = self._start(some, n)
-        epochs = self.epochs or (500 if n <= 200 else 200 if n <= 10_000 else 100)
-        options = {"epochs": epochs, "rate": self.rate, "min_dist": self.min_dist, "negatives": self.negatives, "decay": self.decay, "seed": self.seed}
         spectral, components, seed = self.initialization == "spectral" and n <= 10_000, self.components, self.seed
 
-        def lay(keys: tuple, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-            p = p.sort_values("id")
-            ids, y = p["id"].to_numpy(), np.stack(p["start"].to_list())
-            e = e.sort_values(["row", "col"])
-            i, j, w = np.searchsorted(ids, e["row"]), np.searchsorted(ids, e["col"]), e["value"].to_numpy()
+        def begin(keys: tuple, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            ids, y, i, j, w = _arrays(e, p)
             if spectral:
                 v = spectral_layout(len(ids), i, j, w, components)
                 y = np.pad(v, ((0, 0), (0, components - v.shape[1])))
-            y = optimise_layout(scaled_layout(y, np.random.default_rng(seed)), i, j, w, **options)
-            return pd.DataFrame({"id": ids, "embedding": list(y)})
-
-        one = lambda t: t.withColumn("__one", F.lit(1)).groupBy("__one")
-        laid = checkpointed(one(edges).cogroup(one(start)).applyInPandas(lay, "id long, embedding array<double>"))
-        return replace(self, layout=laid, trained=some)
+            return pd.DataFrame({"id": ids, "embedding": list(scaled_layout(y, np.random.default_rng(seed)))})
+
+        laid = checkpointed(_one_task(edges, start, begin))
+        begun = replace(self, layout=laid, trained=some, edges=edges, epoch=0, epochs=self._epochs(n))
+        return begun.resume(every)
+
+    def resume(self, points: DataFrame | None = None) -> UMAP:
+        """Run the epochs that are left; points: all of them, where they are more than those of the layout."""
+        options = {"epochs": self.epochs, "rate": self.rate, "min_dist": self.min_dist, "negatives": self.negatives, "decay": self.decay, "seed": self.seed}
+        laid, epoch = self.layout, self.epoch
+        while epoch < self.epochs:
+            if self.should_stop is not None and self.should_stop():
+                return replace(self, layout=laid, epoch=epoch)
+            last = min(self.epochs, epoch + (self.segment or self.epochs))
+            laid, epoch = checkpointed(_one_task(self.edges, laid.withColumnRenamed("embedding", "start"), _layer(options, epoch, last))), last
+        done = replace(self, layout=laid, epoch=epoch)
+        if points is not None and points.count() > laid.count():
+            done = replace(done, layout=checkpointed(done.transform(points)))
+        return done
 
     def _start(self, some: DataFrame, n: int) -> DataFrame:
         c, seed = self.components, self.seed
@@ -292,6 +374,34 @@ class UMAP:
         return known.unionByName(moved).select(F.col("id").alias(key), F.col("embedding").alias(vector))
 
 
+class Builder:
+    """Settings of an engine one by one, each a call of the setting's name: Builder(UMAP).k(10).epochs(50).build()."""
+
+    def __init__(self, engine: type, **settings: object) -> None:
+        self._type, self._settings = engine, settings
+
+    def __getattr__(self, name: str) -> Callable[[object], Builder]:
+        if name.startswith("_") or name not in self._type.__dataclass_fields__:
+            raise AttributeError(name)
+        return lambda value: type(self)(**{**self._own(), name: value})
+
+    def _own(self) -> dict[str, object]:
+        return dict(self._settings) if type(self) is not Builder else {"engine": self._type, **self._settings}
+
+    def build(self) -> object:
+        return self._type(**self._settings)
+
+
+class PCABuilder(Builder):
+    def __init__(self, **settings: object) -> None:
+        super().__init__(PCA, **settings)
+
+
+class UMAPBuilder(Builder):
+    def __init__(self, **settings: object) -> None:
+        super().__init__(UMAP, **settings)
+
+
 def pca(points: DataFrame, components: int, **options: str) -> DataFrame:
     return PCA(components).fit(points, **options).transform(points, **options)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TokenizerConfig, tokenize, trigram_similarity
+from .lineage import numbered
 
 
 def token_table(docs: DataFrame, text: str = "text", key: str = "doc_id", config: TokenizerConfig = TokenizerConfig(), *keep: str) -> DataFrame:
@@ -20,23 +21,26 @@ def term_frequencies(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(tokens: DataFrame, *, min_df: int = 1, max_df: float = 0.95, max_size: int | None = None, documents: int | None = None, key: str = "doc_id") -> DataFrame:
-    """(term, term_index, df, tf) of terms in at least min_df documents, and at most the share max_df of them (but one always).
+def term_counts(tokens: DataFrame) -> DataFrame:
+    """(term, df, tf): in how many rows a term is, and how often. Both are summed before the one shuffle, which is by term."""
+    every = tokens.select(F.explode("tokens").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t"))
+    once = tokens.select(F.explode(F.array_distinct("tokens")).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("t"))
+    return every.union(once).groupBy("term").agg(F.sum("d").alias("df"), F.sum("t").alias("tf"))
 
-    Beyond max_size the terms of highest tf stay, ties in alphabetical order. Indexes are alphabetical.
-    Each document's terms are counted before the shuffle, so that df needs no distinct count.
+
+def vocabulary_terms(tokens: DataFrame, *, min_df: int = 1, max_df: float = 0.95, max_size: int | None = None, documents: int | None = None) -> DataFrame:
+    """(term, df, tf) of terms in at least min_df documents, and at most the share max_df of them (but one always).
+
+    A document is a row. Beyond max_size the terms of highest tf stay, ties in alphabetical order.
     """
     n = tokens.count() if documents is None else documents
-    terms = term_frequencies(tokens, key).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    kept = terms.where(F.col("df").between(min_df, max(1, math.floor(n * max_df))))
-    if max_size is not None:
-        kept = kept.orderBy(F.desc("tf"), "term").limit(max_size)
-    return kept.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_index"), "df", "tf")
+    kept = term_counts(tokens).where(F.col("df").between(min_df, max(1, math.floor(n * max_df))))
+    return kept if max_size is None else kept.orderBy(F.desc("tf"), "term").limit(max_size)
 
 
-def vocabulary_terms(tokens: DataFrame, **options: float) -> DataFrame:
-    """vocabulary() without the index, which takes one task to number."""
-    return vocabulary(tokens, **options).drop("term_index")
+def vocabulary(tokens: DataFrame, **options: float) -> DataFrame:
+    """vocabulary_terms() with term_index, which is alphabetical from 0."""
+    return numbered(vocabulary_terms(tokens, **options), "term", "term_index").select("term", "term_index", "df", "tf")
 
 
 def vocabulary_statistics(vocab: DataFrame) -> DataFrame:
@@ -67,10 +71,13 @@ def ctfidf(tokens: DataFrame, vocab: DataFrame, *, label: str = "label", classes
     sizes = own.groupBy(label).agg(F.sum(F.size("tokens")).alias("n"))
     average = sizes.agg((F.sum("n") / (F.lit(classes) if classes else F.count("*"))).alias("average"))
     counts = own.select(label, F.explode("tokens").alias("term")).groupBy(label, "term").agg(F.count("*").alias("tf")).join(vocab.select("term"), "term", "left_semi")
-    whole = counts.groupBy("term").agg(F.sum("tf").alias("f"))
-    raw = counts.join(whole, "term").crossJoin(F.broadcast(average)).select(label, "term", "tf", (F.col("tf") * F.log1p(F.col("average") / F.col("f"))).alias("raw"))
+    # by term, of which there are at most as many rows as classes
+    whole = F.sum("tf").over(Window.partitionBy("term"))
+    raw = counts.withColumn("f", whole).crossJoin(F.broadcast(average)).select(label, "term", "tf", (F.col("tf") * F.log1p(F.col("average") / F.col("f"))).alias("raw"))
     raw = raw.where((F.col("raw") >= min_score) & (F.col("raw") > 0))
-    return raw.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy(label)))
+    # a row a class, found with partial maxima
+    top = raw.groupBy(label).agg(F.max("raw").alias("__top"))
+    return raw.join(top, label).withColumn("score", F.col("raw") / F.col("__top")).drop("__top")
 
 
 def rank_terms(scores: DataFrame, label: str = "label", places: int = 9) -> Column:

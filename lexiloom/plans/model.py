@@ -8,6 +8,8 @@ use the original one.
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -20,7 +22,7 @@ from ..functions.text import TokenizerConfig, tokenize
 from ..functions.vectors import centroids, dimension_of
 from ..operators import assignment as assign
 from ..operators import coherence, vocabulary
-from ..operators.hdbscan import HDBSCAN
+from ..operators.hdbscan import HDBSCAN, Stopped
 from ..operators.matching import similarity_matrix
 from ..operators.reduction import PCA, UMAP, Identity
 from ..sources.providers import EmbeddingProvider
@@ -94,22 +96,31 @@ class TopicModel:
     reducer: object = field(default=None, repr=False)
     dimension: int | None = None
     provider: EmbeddingProvider | None = field(default=None, repr=False)
+    timings: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     # training
 
-    def fit(self, docs: DataFrame, provider: EmbeddingProvider | None = None, progress: Callable[[str, float], None] | None = None) -> TopicModel:
-        """docs: (doc_id, text, embedding), or without embedding but with a provider."""
+    def fit(self, docs: DataFrame, provider: EmbeddingProvider | None = None, progress: Callable[[str, float], None] | None = None, should_stop: Callable[[], bool] = lambda: False) -> TopicModel:
+        """docs: (doc_id, text, embedding), or without embedding but with a provider.
+
+        timings holds the seconds of each stage. should_stop is asked before each stage and between the
+        rounds of the spanning tree; Stopped is raised then.
+        """
         config = self.config.validate()
-        done = 0.0
+        done, timings = 0.0, {}
 
         def stage(name: str, run: Callable[[], object]) -> object:
             nonlocal done
+            if should_stop():
+                raise Stopped(name)
+            began = time.perf_counter()
             try:
                 result = run()
-            except (TopicModelError, ConfigurationError):
+            except (TopicModelError, ConfigurationError, Stopped):
                 raise
             except Exception as e:
                 raise PipelineError(name, e) from e
+            timings[name] = time.perf_counter() - began
             done += STAGES[name]
             if progress:
                 progress(name, min(1.0, done))
@@ -131,15 +142,15 @@ class TopicModel:
 
         reducer, small = stage("reduction", reduce_)
         c = config.clustering
-        engine = HDBSCAN(c.min_cluster_size, c.min_samples, c.epsilon, c.method, c.allow_single)
+        engine = HDBSCAN(c.min_cluster_size, c.min_samples, c.epsilon, c.method, c.allow_single, c.metric, should_stop=should_stop)
         clustered = stage("clustering", lambda: engine.fit(small, key="doc_id"))
         labelled = clustered.assignment
-        tokens = docs.select("doc_id", tokenize("text", tokenizer_config(config)).alias("tokens"))
+        tokens = checkpointed(docs.select("doc_id", tokenize("text", tokenizer_config(config)).alias("tokens")))
         keywords = stage("representation", lambda: checkpointed(represent(tokens, labelled, config)))
         scores = stage("coherence", lambda: checkpointed(coherence.topic_coherence(tokens, keywords, config.coherence)) if config.coherence else None)
         topics = checkpointed(topic_table(keywords, labelled, docs, scores, d))
         result = checkpointed(assign.document_topics(docs, labelled, topics).join(labelled.select("doc_id", "outlier_score"), "doc_id"))
-        return replace(self, topics=topics, assignment=result, corpus=docs, reducer=reducer, dimension=d, provider=provider)
+        return replace(self, topics=topics, assignment=result, corpus=docs, reducer=reducer, dimension=d, provider=provider, timings=timings)
 
     def fit_transform(self, docs: DataFrame, provider: EmbeddingProvider | None = None) -> DataFrame:
         return self.fit(docs, provider).assignment
@@ -249,6 +260,26 @@ class TopicModel:
 
     # persistence
 
+    def export_json(self) -> str:
+        """The state as JSON: configuration, topics and assignment. For models of a size that the driver holds; save() has no such limit."""
+        rows = lambda t: [json.loads(x) for x in t.toJSON().collect()]
+        return json.dumps({"version": VERSION, "dimension": self._ready().dimension, "config": asdict(self.config), "topics": rows(self.topics), "assignment": rows(self.assignment)})
+
+    @classmethod
+    def restore_json(cls, spark: SparkSession, text: str) -> TopicModel:
+        state = migrate(json.loads(text))
+        problems = validate_state(state)
+        if problems:
+            raise TopicModelError("; ".join(problems))
+
+        def table(name: str, schema: str) -> DataFrame:
+            lines = spark.createDataFrame([(json.dumps(x),) for x in state[name]], "value string")
+            return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+        topics = table("topics", "topic_id int, keywords array<struct<term: string, score: double, frequency: bigint>>, size long, coherence double, representative_docs array<long>, centroid array<double>")
+        found = table("assignment", "doc_id long, topic_id int, probability double, distance double, outlier_score double")
+        return cls(config_from(state["config"]), topics, found, None, None, state["dimension"])
+
     def save(self, path: str) -> None:
         """Topics, assignment and configuration; neither texts nor embeddings."""
         spark = self._ready().topics.sparkSession
@@ -273,6 +304,23 @@ def migrate(state: dict | None) -> dict:
     return {**state, "version": VERSION}
 
 
+def validate_state(state: dict) -> list[str]:
+    """What is wrong with an exported state."""
+    problems = [f"{k} is missing" for k in ("version", "dimension", "config", "topics", "assignment") if k not in state]
+    if problems:
+        return problems
+    ids = [t.get("topic_id") for t in state["topics"]]
+    if len(set(ids)) != len(ids) or any(i is None or i < 0 for i in ids):
+        problems.append("topic ids repeat, or are below 0")
+    if any(len(t.get("centroid") or []) != state["dimension"] for t in state["topics"]):
+        problems.append("a centroid is of another dimension")
+    if any(t.get("size", 0) < 1 for t in state["topics"]):
+        problems.append("a topic is empty")
+    if any(a.get("topic_id", -1) not in {-1, *ids} for a in state["assignment"]):
+        problems.append("a document is of an unknown topic")
+    return problems
+
+
 def config_from(value: dict) -> TopicModelConfig:
     from .config import ClusteringConfig, ReductionConfig, RepresentationConfig
 

@@ -1,7 +1,10 @@
 """Registered queries over the driver's tables, with SQL of the same result.
 
 The corpus is documents joined with embeddings on doc_id = vec_id; the label of an embedding is the
-given assignment. Numbers are rounded on both sides; ties are broken by id or term.
+given assignment. Only documents with an embedding have a label, a fifth of them at sf0.1: queries over
+the corpus, and ``topic_model``, are about those, as a topic model is about documents with vectors. The
+others (tokenize_counts, bigram_counts, stream_token_counts, stop_word_antijoin, ctfidf_by_lang) read
+all documents. Numbers are rounded on both sides; ties are broken by id or term.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import sparse, text, vectors
 from ..functions.stopwords import STANDARD
 from ..operators import assignment, coherence, hdbscan, matching, neighbours, reduction, vocabulary
+from ..operators.lineage import checkpointed, spread
 from ..streaming import drift
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +30,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = "WITH " + ", ".join(f"{n} AS ({PARTS[n]})" for n in _needed(sql)) + " " + sql if _needed(sql) else sql
+            parts = _needed(sql)
+            SQL[f.__name__] = "WITH RECURSIVE " + ", ".join(f"{_HEAD.get(n, n)} AS {'MATERIALIZED ' if n in _ONCE else ''}({PARTS[n]})" for n in parts) + " " + sql if parts else sql
         return f
 
     return add
 
 
+#: Parts that are dear and read more than once, and names of columns.
+_ONCE = {"near", "cores", "mat", "kw", "tri", "tsim", "cov"}
+_HEAD = {"prim": "prim(step, w, b)", "mmr": "mmr(topic_id, step, chosen)", "dp": "dp(step, mask, total, chosen)"}
 _STOP = ", ".join(f"'{w}'" for w in sorted(STANDARD))
 #: Parts of the oracles, each of which may use those before it.
 PARTS = {
@@ -50,7 +58,7 @@ PARTS = {
     "dvec": "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings",
     "dist": "SELECT vec_id, label, topic_id, sqrt(list_sum(list_transform(list_zip(v, centroid), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM dvec CROSS JOIN cen",
     "sims": "SELECT vec_id, topic_id, list_sum(list_transform(list_zip(v, centroid), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(v, lambda x: x * x)) * list_sum(list_transform(centroid, lambda x: x * x))) AS s FROM dvec CROSS JOIN cen",
-    "near": "SELECT a.vec_id AS src, b.vec_id AS dst, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 9) AS d FROM dvec a JOIN dvec b ON a.vec_id != b.vec_id",
+    "near": "SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.v, b.v), 9) AS d FROM dvec a JOIN dvec b ON a.vec_id != b.vec_id",
     "knn": "SELECT src, dst, d, \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(d, 9), dst) AS \"rank\" FROM near) WHERE \"rank\" <= 5",
     "cores": "SELECT src AS id, max(d) AS core FROM knn GROUP BY src",
     "win": "SELECT doc_id, i, list_distinct(list_slice(tokens, i + 1, i + 10)) AS words FROM (SELECT doc_id, tokens, unnest(generate_series(0, greatest(len(tokens) - 10, 0))) AS i FROM corpus WHERE len(tokens) > 0)",
@@ -68,7 +76,32 @@ PARTS = {
     "deg": "SELECT \"row\", sum(\"value\") AS degree FROM sym GROUP BY \"row\"",
     "halves": "SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x, vec_id % 2 AS half FROM embeddings",
     "hcen": "SELECT half, label AS topic_id, list(m ORDER BY i) AS centroid FROM (SELECT half, label, i, avg(x) AS m FROM halves GROUP BY ALL) GROUP BY ALL",
+    "mat": (
+        "SELECT i, list(w ORDER BY j) AS r FROM (SELECT x.p AS i, y.p AS j, CASE WHEN x.p = y.p THEN NULL ELSE greatest(n.d, c.core, e.core) END AS w"
+        " FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS p FROM dvec) x CROSS JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS p FROM dvec) y"
+        " LEFT JOIN near n ON n.src = x.vec_id AND n.dst = y.vec_id LEFT JOIN cores c ON c.id = x.vec_id LEFT JOIN cores e ON e.id = y.vec_id) GROUP BY i"
+    ),
+    "prim": (
+        "SELECT 0, NULL::DOUBLE, r FROM mat WHERE i = 1 UNION ALL SELECT step + 1, least_, list_transform(generate_series(1, len(b)), lambda k: CASE WHEN b[k] IS NULL OR k = p THEN NULL ELSE least(b[k], m.r[k]) END)"
+        " FROM (SELECT step, b, list_min(b) AS least_, list_position(b, list_min(b)) AS p FROM prim WHERE list_min(b) IS NOT NULL) q JOIN mat m ON m.i = q.p"
+    ),
+    "tri": (
+        "SELECT topic_id, term1, term2, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS s FROM (SELECT x.topic_id, x.term AS term1, y.term AS term2,"
+        " list_distinct(list_transform(generate_series(1, greatest(length(x.term) - 2, 1)), lambda i: substring(x.term, i, 3))) AS a, list_distinct(list_transform(generate_series(1, greatest(length(y.term) - 2, 1)), lambda i: substring(y.term, i, 3))) AS b"
+        " FROM kw x JOIN kw y ON x.topic_id = y.topic_id AND x.term != y.term)"
+    ),
+    "mmr": (
+        "SELECT topic_id, 1, [term] FROM kw WHERE \"rank\" = 1 UNION ALL SELECT topic_id, step + 1, list_append(chosen, term) FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY v DESC, k) AS n FROM"
+        " (SELECT c.topic_id, c.step, c.chosen, x.term, x.\"rank\" AS k, 0.7::DOUBLE * any_value(x.score) + 0.3::DOUBLE * (1 - max(t.s)) AS v FROM mmr c JOIN kw x ON x.topic_id = c.topic_id AND NOT list_contains(c.chosen, x.term)"
+        " JOIN tri t ON t.topic_id = c.topic_id AND t.term1 = x.term AND list_contains(c.chosen, t.term2) GROUP BY c.topic_id, c.step, c.chosen, x.term, x.\"rank\")) WHERE n = 1"
+    ),
+    "cov": "SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM dvec) a JOIN (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM dvec) b USING (vec_id) GROUP BY a.i, b.i",
     "tsim": "SELECT a.topic_id AS old_id, b.topic_id AS new_id, round(list_sum(list_transform(list_zip(a.centroid, b.centroid), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(a.centroid, lambda x: x * x)) * list_sum(list_transform(b.centroid, lambda x: x * x))), 9) AS similarity FROM hcen a JOIN hcen b ON a.half = 0 AND b.half = 1",
+    "dp": (
+        "SELECT 0, 0, 0::DOUBLE, []::BIGINT[] UNION ALL SELECT step + 1, after, t, c FROM (SELECT *, row_number() OVER (PARTITION BY after ORDER BY t DESC) AS n FROM"
+        " (SELECT d.step, d.mask | (1 << (p.j - 1)::INTEGER) AS after, d.total + p.similarity AS t, list_append(d.chosen, p.new_id) AS c FROM dp d"
+        " JOIN (SELECT *, dense_rank() OVER (ORDER BY old_id) AS i, dense_rank() OVER (ORDER BY new_id) AS j FROM tsim) p ON p.i = d.step + 1 AND d.mask & (1 << (p.j - 1)::INTEGER) = 0)) WHERE n = 1"
+    ),
 }
 
 
@@ -98,19 +131,24 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, label, tokens): the vectors aren't read."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.tokenize("text").alias("tokens"))
-    return docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    """(doc_id, label, tokens), tokenised once and stored; the vectors aren't read."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return checkpointed(documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id").select("doc_id", "label", text.tokenize("text").alias("tokens")))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus(spark, sf_dir)
+def scores(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
+    c = corpus(spark, sf_dir) if c is None else c
     return vocabulary.ctfidf(c, vocabulary.vocabulary_terms(c, max_df=0.7))
 
 
-def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.top_keywords(scores(spark, sf_dir), 10).withColumnRenamed("label", "topic_id")
+def keywords(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
+    """The ten best of each topic, stored: they are few, and asked for more than once."""
+    return checkpointed(vocabulary.top_keywords(scores(spark, sf_dir, c), 10).withColumnRenamed("label", "topic_id"))
 
 
 def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,19 +160,18 @@ def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY term")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = vocabulary.token_table(table(spark, sf_dir, "documents"))
-    return vocabulary.term_frequencies(tokens).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return vocabulary.term_counts(checkpointed(vocabulary.token_table(documents(spark, sf_dir)).select("tokens")))
 
 
 @query("SELECT term, count(*) AS tf FROM (SELECT unnest(list_transform(list_zip(tokens[:len(tokens) - 1], tokens[2:]), lambda p: p[1] || '_' || p[2])) AS term FROM tok WHERE len(tokens) > 1) GROUP BY term")
 def bigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = vocabulary.token_table(table(spark, sf_dir, "documents"), "text", "doc_id", text.TokenizerConfig(bigrams=True))
+    t = vocabulary.token_table(documents(spark, sf_dir), "text", "doc_id", text.TokenizerConfig(bigrams=True))
     return t.select(F.explode("tokens").alias("term")).where(F.col("term").contains("_")).groupBy("term").agg(F.count("*").alias("tf"))
 
 
 @query(r"SELECT term, count(*) AS tf FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: length(t) > 2)) AS term FROM documents) GROUP BY term")
 def stream_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(text.stream_tokens("text")).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    return documents(spark, sf_dir).select(F.explode(text.stream_tokens("text")).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
 
 
 @query("SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_index, df, tf FROM vocab")
@@ -144,7 +181,7 @@ def vocabulary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT term, count(*) AS tf FROM (SELECT unnest(tokens) AS term FROM tok) WHERE term NOT IN ({_STOP}) GROUP BY term")
 def stop_word_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = vocabulary.token_table(table(spark, sf_dir, "documents")).select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    terms = vocabulary.token_table(documents(spark, sf_dir)).select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
     return vocabulary.without_stop_words(terms, spark.createDataFrame([(w,) for w in sorted(STANDARD)], "term string"))
 
 
@@ -188,7 +225,7 @@ def ctfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest(tokens) AS term FROM tok) GROUP BY ALL))) WHERE \"rank\" <= 10"
 )
 def ctfidf_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = vocabulary.token_table(table(spark, sf_dir, "documents"), "text", "doc_id", text.TokenizerConfig(), "lang")
+    t = checkpointed(vocabulary.token_table(documents(spark, sf_dir), "text", "doc_id", text.TokenizerConfig(), "lang"))
     s = vocabulary.ctfidf(t, vocabulary.vocabulary_terms(t, max_df=1.0), label="lang")
     return vocabulary.top_keywords(s, 10, "lang").select("lang", "rank", "term", rounded("raw").alias("raw"))
 
@@ -256,11 +293,14 @@ def incremental_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT b.vec_id AS id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(a.v, lambda x: x * x)) * list_sum(list_transform(b.v, lambda x: x * x))), 9) AS similarity FROM dvec a JOIN dvec b ON a.vec_id = 0 ORDER BY similarity DESC, id LIMIT 10"
+    'SELECT query_id, CAST(r AS INTEGER) AS "rank", id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - similarity, 9), id) AS r FROM'
+    " (SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS similarity FROM dvec a JOIN dvec b ON a.vec_id % 50 = 0)) WHERE r <= 10"
 )
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector is a query against all."""
     p = points(spark, sf_dir)
-    return assignment.search(p, p.where("id = 0").first()["embedding"], 10, key="id")
+    found = assignment.search_all(p.where("id % 50 = 0"), p, 10)
+    return found.select("query_id", "rank", "id", rounded("similarity").alias("similarity"))
 
 
 @query('SELECT topic_id, CAST(r AS INTEGER) AS "rank", vec_id AS id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(d, 9), vec_id) AS r FROM dist WHERE label = topic_id) WHERE r <= 3')
@@ -329,7 +369,8 @@ def knn_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cooccurrence(spark: SparkSession, sf_dir: str, **config: object) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return coherence.cooccurrence(corpus(spark, sf_dir), keywords(spark, sf_dir), coherence.CoherenceConfig(**config))
+    c = corpus(spark, sf_dir)
+    return coherence.cooccurrence(c, keywords(spark, sf_dir, c), coherence.CoherenceConfig(**config))
 
 
 @query("SELECT x.term AS a, y.term AS b, count(*) AS n FROM (SELECT DISTINCT doc_id, term FROM occ WHERE term IN (SELECT term FROM kw)) x JOIN (SELECT DISTINCT doc_id, term FROM occ WHERE term IN (SELECT term FROM kw)) y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL")
@@ -349,19 +390,22 @@ def cooc_words10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT topic_id, word1, word2, round(npmi, 6) AS npmi FROM npmi")
 def npmi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kw = keywords(spark, sf_dir)
-    w, p, t = coherence.cooccurrence(corpus(spark, sf_dir), kw)
+    c = corpus(spark, sf_dir)
+    kw = keywords(spark, sf_dir, c)
+    w, p, t = coherence.cooccurrence(c, kw)
     return coherence.npmi_pairs(coherence.keyword_pairs(kw), w, p, t).withColumn("npmi", rounded("npmi"))
 
 
 @query("SELECT topic_id, round(coherence, 6) AS coherence FROM coh")
 def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coherence.topic_coherence(corpus(spark, sf_dir), keywords(spark, sf_dir)).select("topic_id", rounded("coherence").alias("coherence"))
+    c = corpus(spark, sf_dir)
+    return coherence.topic_coherence(c, keywords(spark, sf_dir, c)).select("topic_id", rounded("coherence").alias("coherence"))
 
 
 @query("SELECT round(avg(coherence), 6) AS mean, round(median(coherence), 6) AS median, round(min(coherence), 6) AS min, round(max(coherence), 6) AS max, round(stddev_pop(coherence), 6) AS std, count(*) FILTER (WHERE coherence > 0) AS positive, round(avg((coherence > 0)::INT), 6) AS positive_ratio FROM coh")
 def coherence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = coherence.coherence_summary(coherence.topic_coherence(corpus(spark, sf_dir), keywords(spark, sf_dir)))
+    c = corpus(spark, sf_dir)
+    s = coherence.coherence_summary(coherence.topic_coherence(c, keywords(spark, sf_dir, c)))
     return s.select(*[(F.col(c) if c == "positive" else rounded(c)).alias(c) for c in s.columns])
 
 
@@ -387,8 +431,9 @@ def overlapping_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT round(m, 6) AS mean_npmi, round(d, 6) AS diversity, round((m + 1) / 2 * d, 6) AS quality FROM (SELECT (SELECT avg(coherence) FROM coh) AS m, (SELECT count(DISTINCT term) / count(*) FROM kw) AS d)")
 def topic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kw = keywords(spark, sf_dir)
-    q = coherence.quality(coherence.topic_coherence(corpus(spark, sf_dir), kw), coherence.diversity(kw))
+    c = corpus(spark, sf_dir)
+    kw = keywords(spark, sf_dir, c)
+    q = coherence.quality(coherence.topic_coherence(c, kw), coherence.diversity(kw))
     return q.select(*[rounded(c).alias(c) for c in q.columns])
 
 
@@ -490,12 +535,12 @@ _MERGED = "CASE WHEN label IN (0, 1) THEN 0 ELSE label END"
 
 @query(
     f'SELECT label, CAST(r AS INTEGER) AS "rank", term, round(raw, 6) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(raw, 9) DESC, term) AS r FROM (SELECT label, term, tf * ln(1 + (SELECT sum(n) / count(*) FROM (SELECT {_MERGED} AS l, count(*) AS n FROM occ GROUP BY 1)) / sum(tf) OVER (PARTITION BY term)) AS raw'
-    f" FROM (SELECT {_MERGED} AS label, term, count(*) AS tf FROM occ SEMI JOIN vocab USING (term) GROUP BY 1, 2))) WHERE r <= 10 AND label = 0"
+    f" FROM (SELECT {_MERGED} AS label, term, count(*) AS tf FROM occ SEMI JOIN vocab USING (term) GROUP BY 1, 2))) WHERE r <= 10"
 )
 def merge_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = matching.relabel(corpus(spark, sf_dir), {1: 0})
     s = vocabulary.ctfidf(c, vocabulary.vocabulary_terms(c, max_df=0.7))
-    return vocabulary.top_keywords(s, 10).where("label = 0").select("label", "rank", "term", rounded("raw").alias("raw"))
+    return vocabulary.top_keywords(s, 10).select("label", "rank", "term", rounded("raw").alias("raw"))
 
 
 # drift of a stream
@@ -511,7 +556,21 @@ def drift_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("total", *[rounded(c).alias(c) for c in ("overall", "recent", "outlier_rate")])
 
 
-# models without SQL of the same result
+# models: what has one right answer with SQL of it, then what hasn't
+
+
+@query("SELECT round(sum(c) FILTER (WHERE i = j) + 64 * 1e-6, 6) AS total_variance, round(sum(c * c) + 2e-6 * sum(c) FILTER (WHERE i = j) + 64 * 1e-12, 6) AS squared, 64 AS components FROM cov")
+def pca_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the eigenvalues and of their squares: trace and squared norm of the covariance (with its ridge)."""
+    values = reduction.PCA(1).fit(points(spark, sf_dir)).eigenvalues
+    return spark.createDataFrame([(round(float(values.sum()), 6), round(float((values**2).sum()), 6), len(values))], "total_variance double, squared double, components int")
+
+
+@query("SELECT CAST(step AS INTEGER) AS \"rank\", round(w, 6) AS weight FROM (SELECT row_number() OVER (ORDER BY w) AS step, w FROM prim WHERE w IS NOT NULL)")
+def mst_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of the minimum spanning tree in order, which are the same whatever edges tie."""
+    _, edges = hdbscan.minimum_spanning_tree(points(spark, sf_dir), K)
+    return spark.createDataFrame([(i + 1, round(w, 6)) for i, w in enumerate(sorted(w for *_, w in edges))], "rank int, weight double")
 
 
 @query()
@@ -521,8 +580,7 @@ def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, edges = hdbscan.minimum_spanning_tree(points(spark, sf_dir), K)
-    return spark.createDataFrame(edges, "src long, dst long, weight double")
+    return hdbscan.spanning_tree(points(spark, sf_dir), K)
 
 
 @query()
@@ -532,15 +590,19 @@ def hdbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def umap_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduction.umap(points(spark, sf_dir), 2, epochs=50)
+    return reduction.umap(points(spark, sf_dir), 2)
 
 
-@query()
+@query('SELECT topic_id AS label, CAST(generate_subscripts(chosen, 1) AS INTEGER) AS "rank", unnest(chosen) AS term FROM mmr WHERE step = 10')
 def mmr_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.diversified(vocabulary.keyword_arrays(vocabulary.top_keywords(scores(spark, sf_dir), 10)))
+    order = vocabulary.diversified(vocabulary.keyword_arrays(vocabulary.top_keywords(scores(spark, sf_dir), 10)))
+    return order.select("label", F.posexplode("keywords").alias("i", "k")).select("label", (F.col("i") + 1).alias("rank"), "k.term")
 
 
-@query()
+@query(
+    "SELECT CAST(new_id AS INTEGER) AS new_id, CAST(old_id AS INTEGER) AS old_id FROM (SELECT unnest(chosen) AS new_id, generate_subscripts(chosen, 1) AS i FROM dp WHERE step = (SELECT count(DISTINCT old_id) FROM tsim)) c"
+    " JOIN (SELECT DISTINCT old_id, dense_rank() OVER (ORDER BY old_id) AS i FROM tsim) o USING (i) JOIN tsim t USING (old_id, new_id) WHERE t.similarity >= 0"
+)
 def hungarian_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = matching.match_topics(*_halves(spark, sf_dir), matching.MatchConfig(0.0))
     return spark.createDataFrame(sorted(m.mapping.items()), "new_id int, old_id int")
@@ -559,5 +621,3 @@ def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query('SELECT term, CAST(max("rank") AS INTEGER) AS worst_rank, count(*) AS topics FROM kw GROUP BY term')
 def keyword_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords(spark, sf_dir).groupBy("term").agg(F.max("rank").alias("worst_rank"), F.count("*").alias("topics"))
-
-

@@ -1,7 +1,9 @@
 """Stored models: Parquet tables and JSON manifests under one folder, on any Hadoop file system.
 
-A table is replaced by writing a new version beside the old one and then renaming the manifest that
-names it, so that readers see one whole version. Pending rows and embeddings are appended.
+A table is replaced by writing a new version beside the old one and then a manifest that names it.
+Manifests are numbered: each is written under another name and renamed to the next number, which
+nothing has yet, so that at no time there is none; readers take the highest that they can read.
+Older ones are deleted afterwards. Pending rows and embeddings are appended.
 """
 
 from __future__ import annotations
@@ -17,13 +19,57 @@ VERSION = 1
 
 
 class ModelStorage(Protocol):
+    """What the model, the runner and the updater ask of a store."""
+
+    def save_json(self, name: str, value: dict) -> None: ...
+
+    def load_json(self, name: str) -> dict | None: ...
+
     def save_table(self, name: str, table: DataFrame) -> None: ...
 
     def load_table(self, name: str) -> DataFrame | None: ...
 
-    def save_json(self, name: str, value: dict) -> None: ...
+    def append_table(self, name: str, rows: DataFrame) -> None: ...
 
-    def load_json(self, name: str) -> dict | None: ...
+    def delete(self, name: str) -> None: ...
+
+    def append_embeddings(self, rows: DataFrame) -> None: ...
+
+    def embeddings(self) -> DataFrame: ...
+
+    def load_embeddings(self, ids: DataFrame) -> DataFrame: ...
+
+    def embedding_count(self) -> int: ...
+
+    def append_pending(self, rows: DataFrame) -> None: ...
+
+    def pending(self) -> DataFrame | None: ...
+
+    def pending_count(self) -> int: ...
+
+    def drain(self) -> DataFrame | None: ...
+
+    def restore(self) -> None: ...
+
+    def forget(self) -> None: ...
+
+    def save_graph(self, graph: DataFrame) -> None: ...
+
+    def load_graph(self) -> DataFrame | None: ...
+
+    def save_reduced(self, points: DataFrame) -> None: ...
+
+    def load_reduced(self) -> DataFrame | None: ...
+
+    def save_checkpoint(self, value: dict) -> None: ...
+
+    def load_checkpoint(self) -> dict | None: ...
+
+    def clear_checkpoint(self) -> None: ...
+
+    def clear(self) -> None: ...
+
+    def size_bytes(self) -> int: ...
 
 
 class MissingEmbedding(KeyError):
@@ -39,26 +85,37 @@ class ParquetStorage:
 
     # manifests
 
+    def _numbers(self, name: str) -> list[int]:
+        """Of the manifests of a name, the latest first."""
+        found = self._fs.globStatus(self._path(f"{name}.*.json")) or []
+        parts = [f.getPath().getName()[len(name) + 1 : -len(".json")] for f in found]
+        return sorted((int(x) for x in parts if x.isdigit()), reverse=True)
+
     def save_json(self, name: str, value: dict) -> None:
-        temporary = self._path(f".{name}-{uuid.uuid4().hex}.json")
+        temporary = self._path(f".{name}-{uuid.uuid4().hex}.tmp")
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps(value), "utf-8"))
         out.close()
-        self._fs.delete(self._path(f"{name}.json"), False)
-        self._fs.rename(temporary, self._path(f"{name}.json"))
+        before = self._numbers(name)
+        number = before[0] + 1 if before else 0
+        if not self._fs.rename(temporary, self._path(f"{name}.{number}.json")):
+            raise OSError(f"manifest {number} of {name} is there already: another writer is at work")
+        for n in before[1:]:  # the one before stays, for readers that have begun
+            self._fs.delete(self._path(f"{name}.{n}.json"), False)
 
     def load_json(self, name: str) -> dict | None:
-        """None if it is absent or can't be read."""
-        if not self._fs.exists(self._path(f"{name}.json")):
-            return None
-        lines = self.spark.read.text(f"{self.path}/{name}.json", wholetext=True).collect()
-        try:
-            return json.loads(lines[0]["value"])
-        except (IndexError, ValueError):
-            return None
+        """The latest that can be read; None if there is none."""
+        for n in self._numbers(name):
+            lines = self.spark.read.text(f"{self.path}/{name}.{n}.json", wholetext=True).collect()
+            try:
+                return json.loads(lines[0]["value"])
+            except (IndexError, ValueError):
+                continue
+        return None
 
     def delete(self, name: str) -> None:
-        self._fs.delete(self._path(f"{name}.json"), False)
+        for n in self._numbers(name):
+            self._fs.delete(self._path(f"{name}.{n}.json"), False)
         self._fs.delete(self._path(name), True)
 
     # tables
@@ -67,13 +124,35 @@ class ParquetStorage:
         version = uuid.uuid4().hex
         table.write.parquet(f"{self.path}/{name}/{version}")
         before = self.load_json(name)
-        self.save_json(name, {"version": version, "format": VERSION})
-        if before:
-            self._fs.delete(self._path(f"{name}/{before['version']}"), True)
+        self.save_json(name, {"versions": [version], "format": VERSION})
+        for v in (before or {"versions": []})["versions"]:
+            self._fs.delete(self._path(f"{name}/{v}"), True)
 
     def load_table(self, name: str) -> DataFrame | None:
         manifest = self.load_json(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/{manifest['version']}") if manifest else None
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{v}" for v in manifest["versions"]]) if manifest else None
+
+    def append_table(self, name: str, rows: DataFrame) -> None:
+        """Rows beside those of the latest version, under a new one that names both folders."""
+        version = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{name}/{version}")
+        before = self.load_json(name) or {"versions": []}
+        self.save_json(name, {"versions": [*before["versions"], version], "format": VERSION})
+
+    # neighbour graphs and reduced vectors
+
+    def save_graph(self, graph: DataFrame) -> None:
+        """(src, rank, dst, dist) of a nearest-neighbour graph."""
+        self.save_table("graph", graph.select("src", "rank", "dst", "dist"))
+
+    def load_graph(self) -> DataFrame | None:
+        return self.load_table("graph")
+
+    def save_reduced(self, points: DataFrame) -> None:
+        self.save_table("reduced", points)
+
+    def load_reduced(self) -> DataFrame | None:
+        return self.load_table("reduced")
 
     # embeddings: append, point reads, scan
 

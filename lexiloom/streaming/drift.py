@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,19 +49,29 @@ class Drift:
         return asdict(self)
 
 
-def batch_drift(observations: DataFrame, order: list[str], window: int = 100) -> DataFrame:
-    """One row (total, overall, recent, outlier_rate) of (distance, outlier), as of the last in order.
+def batch_drift(observations: DataFrame, order: list[str], window: int = 100, before: Drift | None = None) -> DataFrame:
+    """One row (total, overall, recent, outlier_rate) of (distance, outlier), as of the last in order, after the state ``before``.
 
-    What lies more than some 40 windows back weighs less than rounding, so that the recent values need
-    only the last rows, which are taken without sorting the rest.
+    Rows are sorted by ranges; each range is folded where it is, and the ranges, a row each, in order:
+    behind n observations a recent value has (1 - a)^n of its weight left.
     """
-    a = 2 / (window + 1)
-    tail = int(np.ceil(-40 / np.log1p(-a))) if a < 1 else 1
-    whole = observations.agg(F.count("*").alias("total"), F.coalesce(F.avg("distance"), F.lit(0.0)).alias("overall"))
-    last = observations.orderBy(*[F.desc(c) for c in order]).limit(tail)
-    back = last.agg(F.sort_array(F.collect_list(F.struct(*order, F.col("distance").cast("double").alias("__d"), F.col("outlier").cast("double").alias("__o")))).alias("l"))
-    fold = lambda f: F.aggregate("l", F.lit(0.0), lambda s, x: s * (1 - a) + x[f] * a)
-    return whole.crossJoin(back.select(fold("__d").alias("recent"), fold("__o").alias("outlier_rate")))
+    a, old = 2 / (window + 1), before or Drift(window=window)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, total = Drift(window=window), 0.0
+        for b in batches:
+            x, o = b.column("__d").to_numpy(), b.column("__o").to_numpy()
+            total += x.sum()
+            d = d.observe_all(x, o)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (TaskContext.get().partitionId(), d.total, float(total), d.recent, d.outlier_rate)], ["part", "n", "total", "recent", "rate"])
+
+    rows = observations.select(*order, F.col("distance").cast("double").alias("__d"), F.col("outlier").cast("double").alias("__o"))
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("__d", "__o").mapInArrow(fold, "part long, n long, total double, recent double, rate double")
+    one = parts.where("n > 0").agg(F.sort_array(F.collect_list(F.struct("part", "n", "recent", "rate"))).alias("l"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("s"))
+    on = lambda f, start: F.aggregate("l", F.lit(float(start)), lambda s, x: s * F.pow(F.lit(1 - a), x["n"]) + x[f])
+    total = F.col("n") + old.total
+    overall = F.when(total == 0, 0.0).otherwise((F.col("s") + old.overall * old.total) / F.greatest(total, F.lit(1)))
+    return one.select(total.alias("total"), overall.alias("overall"), on("recent", old.recent).alias("recent"), on("rate", old.outlier_rate).alias("outlier_rate"))
 
 
 def stream_drift(observations: DataFrame, key: str, order: str, window: int = 100) -> DataFrame:

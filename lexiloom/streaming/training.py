@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from ..functions.vectors import dimension_of
 from ..operators import assignment, coherence
-from ..operators.hdbscan import HDBSCAN
+from ..operators.hdbscan import HDBSCAN, Stopped
 from ..operators.reduction import PCA, UMAP
 from ..plans.config import TopicModelConfig
 from ..plans.model import TopicModel, check_corpus, represent, tokenizer_config, topic_table
@@ -58,7 +58,10 @@ class TrainingRunner:
                 continue
             if self.should_stop():
                 raise Interrupted(phase)
-            table = getattr(self, f"_{phase}")(docs)
+            try:
+                table = getattr(self, f"_{phase}")(docs)
+            except Stopped as e:  # within a phase, which a later run does anew
+                raise Interrupted(phase) from e
             if table is not None:
                 self.store.save_table(f"train_{phase}", table)
             state["phases"].append(phase)
@@ -84,7 +87,7 @@ class TrainingRunner:
 
     def _clustering(self, docs: DataFrame | None) -> DataFrame:
         c = self.config.clustering
-        return HDBSCAN(c.min_cluster_size, c.min_samples, c.epsilon, c.method, c.allow_single).fit(self._table("reduction"), key="doc_id").assignment
+        return HDBSCAN(c.min_cluster_size, c.min_samples, c.epsilon, c.method, c.allow_single, c.metric, should_stop=self.should_stop).fit(self._table("reduction"), key="doc_id").assignment
 
     def _tokens(self) -> DataFrame:
         return self._table("corpus").select("doc_id", tokenize("text", tokenizer_config(self.config)).alias("tokens"))
