@@ -3,9 +3,9 @@
 The labels tell toxic from not, so that only p_toxic is supervised. The grade of a toxic training
 document, 1 to 3, is made from its text: by how many occurrences it has of the words that the labels
 mark as toxic, cut at the thirds of the toxic training documents. Grades are thus an order of
-severity by such words, which no label confirms. Features are log(1 + count) of up to ``features`` words of
-the labelled sample that tell the labels apart (log-likelihood ratio above 6, the best ones first;
-README tells how many there are). One weight vector serves all thresholds:
+severity by such words, which no label confirms. Features are log(1 + count) of all words of the
+labelled sample whose log-likelihood ratio tells the labels apart beyond chance (``least_gain``), in at
+least ``least_documents`` of its documents. One weight vector serves all thresholds:
 
     P(grade <= k) = 1 / (1 + exp(w x - t_k)),   t_0 < t_1 < t_2
 
@@ -89,7 +89,7 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade:
     return w, free[0] + np.concatenate([[0], np.cumsum(np.exp(free[1:]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, features: int = 1_000, least_documents: int = 4, max_train_rows: int = 30_000, seed: int = 9) -> Severity | None:
+def fit(docs: DataFrame, labels: DataFrame, *, least_gain: float = 6.0, least_documents: int = 4, max_train_rows: int = 30_000, seed: int = 9) -> Severity | None:
     """Train on at most ``max_train_rows`` labelled documents (by hash of doc_id)."""
     sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     sample = sample.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_train_rows)
@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, features: int = 1_000, least_docu
         a, b = F.col("a"), F.col("n") - F.col("a")
         part = lambda x, of, total: F.when(x > 0, x * F.log(x / (of * total))).otherwise(0.0)
         gain = part(a, F.col("n"), F.lit(n1 / (n0 + n1))) + part(b, F.col("n"), F.lit(n0 / (n0 + n1)))
-        best = df.withColumn("gain", gain).where("gain > 6").orderBy(F.desc("gain"), "word").limit(features).collect()
+        # words of the bounded sample, some thousands
+        best = df.withColumn("gain", gain).where(F.col("gain") > least_gain).orderBy("word").collect()
         if not best:
             return None
         words = np.array([r["word"] for r in best], np.int64).view(np.uint64)
