@@ -48,12 +48,16 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    _WRITTEN.append((spark, path))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed and written as Parquet, so that lost executors cost no recomputation and later plans read only the columns they need."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom-table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
+    deleted_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,9 +65,8 @@ def spread(df: DataFrame) -> DataFrame:
     """A small table in few files or row groups, over all cores; any other as it is. Its rows are the same either way."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if files < cores and size < SMALL * cores else df
+    return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
