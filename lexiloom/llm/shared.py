@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and Spark runs in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN:
-        _OWN[key] = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
-    return _OWN[key]
+from ..operators.lineage import delete_path, deleted_at_exit, shared_dir
 
 
 class Stored:
@@ -44,15 +30,14 @@ class Stored:
             else:
                 self.spark.conf.set(cleanup, before)
         self.schema = df.schema
+        deleted_at_exit(self.spark, self.path)  # unless drop() comes first
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete_path(self.spark, self.path)
 
 
 def stored(df: DataFrame, label: str) -> Stored:
