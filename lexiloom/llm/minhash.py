@@ -316,3 +316,20 @@ def drop_near_copies(docs: DataFrame, **options: float) -> DataFrame:
     docs = one_row_each(docs)
     gone = stored(near_groups(docs, **options).where("NOT keep").select("doc_id"), "gone")
     return without(docs, gone.df)
+
+
+#: Components of all pairs that reach the threshold: what near_groups() gives, up to the recall of bands and sequential test.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x80-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS s FROM d WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), e AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) p JOIN n u ON u.doc_id = p.a JOIN n v ON v.doc_id = p.b WHERE p.c >= 0.5 * (u.n + v.n - p.c)
+), r(doc_id, m) AS (
+  SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT r.doc_id, CASE WHEN e.a = r.m THEN e.b ELSE e.a END FROM r JOIN e ON e.a = r.m OR e.b = r.m
+)
+SELECT doc_id, least(min(m), doc_id) AS group_id, doc_id = least(min(m), doc_id) AS keep FROM r GROUP BY doc_id
+"""

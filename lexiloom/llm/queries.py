@@ -71,4 +71,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_ranked_search": ranked_search.SQL, "op8_suffix_repeats": suffixes.SQL}
+    return {"op7_ranked_search": ranked_search.SQL, "op8_suffix_repeats": suffixes.SQL, "op9_near_duplicates": minhash.SQL}
