@@ -1,6 +1,13 @@
 """A training corpus in five stages: quality, near copies, benchmark passages, secrets, mixture.
 
 Each stage reads what its predecessor wrote. The first four keep the columns of documents.
+
+Defined results: documents whose text is null or empty are rejected by the first stage; of rows that
+repeat a doc_id the second keeps one, that of the smallest text hash, and of ties the smallest doc_id is
+kept; rows with null doc_id pass all stages and are named null in the mixture; a null source is one of
+its own. Very long texts are judged, compared and cut whole. Without labels the first stage keeps all
+texts, without benchmark the third. Of empty tables the result is empty. Extra columns, whatever their
+names, are passed on by all but the last stage.
 """
 
 from __future__ import annotations
