@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TokenizerConfig, tokenize, trigram_similarity
-from .lineage import numbered
+from .lineage import checkpointed, numbered
 
 
 def token_table(docs: DataFrame, text: str = "text", key: str = "doc_id", config: TokenizerConfig = TokenizerConfig(), *keep: str) -> DataFrame:
@@ -74,7 +74,8 @@ def ctfidf(tokens: DataFrame, vocab: DataFrame, *, label: str = "label", classes
     # by term, of which there are at most as many rows as classes
     whole = F.sum("tf").over(Window.partitionBy("term"))
     raw = counts.withColumn("f", whole).crossJoin(F.broadcast(average)).select(label, "term", "tf", (F.col("tf") * F.log1p(F.col("average") / F.col("f"))).alias("raw"))
-    raw = raw.where((F.col("raw") >= min_score) & (F.col("raw") > 0))
+    # stored, as the largest of each class is asked for too
+    raw = checkpointed(raw.where((F.col("raw") >= min_score) & (F.col("raw") > 0)))
     # a row a class, found with partial maxima
     top = raw.groupBy(label).agg(F.max("raw").alias("__top"))
     return raw.join(top, label).withColumn("score", F.col("raw") / F.col("__top")).drop("__top")
