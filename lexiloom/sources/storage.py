@@ -123,9 +123,9 @@ class ParquetStorage:
     def save_table(self, name: str, table: DataFrame) -> None:
         version = uuid.uuid4().hex
         table.write.parquet(f"{self.path}/{name}/{version}")
-        before = self.load_json(name)
-        self.save_json(name, {"versions": [version], "format": VERSION})
-        for v in (before or {"versions": []})["versions"]:
+        before = self.load_json(name) or {"versions": []}
+        self.save_json(name, {"versions": [version], "previous": before["versions"], "format": VERSION})
+        for v in before.get("previous", []):  # the version before stays, for readers that have begun
             self._fs.delete(self._path(f"{name}/{v}"), True)
 
     def load_table(self, name: str) -> DataFrame | None:
@@ -137,7 +137,7 @@ class ParquetStorage:
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/{name}/{version}")
         before = self.load_json(name) or {"versions": []}
-        self.save_json(name, {"versions": [*before["versions"], version], "format": VERSION})
+        self.save_json(name, {**before, "versions": [*before["versions"], version], "format": VERSION})
 
     # neighbour graphs and reduced vectors
 

@@ -98,7 +98,8 @@ class TopicUpdater:
                 self.store.append_pending(fresh)
             self.store.append_embeddings(fresh)
         if self.has_model:
-            result = checkpointed(assignment.cosine_assignment(rows, self.topics(), threshold=self.config.assign))
+            with self._lock:  # a merge in the background replaces the topics
+                result = checkpointed(assignment.cosine_assignment(rows, self.topics(), threshold=self.config.assign))
         else:
             result = rows.select("doc_id", F.lit(-1).alias("topic_id"), F.lit(0.0).alias("similarity"), F.lit(0.0).alias("confidence"))
         if number > state["batch"]:
