@@ -107,3 +107,22 @@ def test_numbers_follow_the_order(spark):
     got = numbered(spark.createDataFrame([(w,) for w in words], "term string").repartition(5), "term", "i").collect()
     assert {r.term: r.i for r in got} == {w: i for i, w in enumerate(sorted(words))}
     assert numbered(spark.createDataFrame([], "term string"), "term", "i").count() == 0
+
+
+def test_only_the_nearest_are_sent_on(spark, monkeypatch):
+    points = frame(spark, np.random.default_rng(2).normal(size=(300, 6)))
+    ranked, sent = neighbours._ranked, []
+    monkeypatch.setattr(neighbours, "_ranked", lambda c, k: sent.append(c.count()) or ranked(c, k))
+    assert neighbours.knn_graph(points, 5, size=10).count() == 1500
+    assert sent == [1500]  # not 5 of each of some 30 blocks
+
+
+def test_the_sieve_loses_no_pair():
+    rng = np.random.default_rng(3)
+    for x in (rng.normal(size=(70, 5)), rng.normal(size=(70, 5)) + 1e6, rng.normal(size=(70, 5)) * 1e-7, rng.normal(size=(70, 5)) * 1e25, np.repeat(rng.normal(size=(7, 5)), 10, axis=0)):
+        x[3], x[5, 2], x[6, 0] = np.nan, np.inf, -np.inf
+        a, b = x[:40], x[3:66]
+        d = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)), 9)
+        for limit in (np.nanquantile(d[np.isfinite(d)], 0.1), np.sort(d[np.isfinite(d)])[50], 0.0):
+            got = {(int(i), int(j)) for i, j, _ in (t for p in neighbours._within(a, b, np.full(40, limit), "euclidean") for t in zip(*p, strict=True))}
+            assert got == set(zip(*(t.tolist() for t in np.nonzero(d <= limit)), strict=True))
