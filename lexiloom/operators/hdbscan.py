@@ -1,9 +1,11 @@
 """Density clustering: core distances, minimum spanning tree of mutual reachability, hierarchy and extraction.
 
-The spanning tree is exact and distributed: every edge of it is in the tree of some pair of blocks of
-points. The edges of a task's block pairs are reduced to their forest there, and forests are joined
-``FAN`` at a time, so that a task holds FAN (n - 1) edges at most and the driver receives the n - 1 of the
-tree. The hierarchy is built from these in the driver. Training can stop between these steps.
+The spanning tree is exact: Boruvka's rounds, in which each component takes its least edge out. The first
+ones need only the graph of NEAR neighbours, as what is not in it is longer than the farthest neighbour of
+either end. Where that doesn't tell, the points that may have a shorter edge are compared with all others
+on the executors; the largest component is never asked. The driver holds the labels of the points and the
+forest of the graph, which is reduced on the executors, ``FAN`` parts at a time; the hierarchy is built
+there too. Training can stop between these steps.
 """
 
 from __future__ import annotations
@@ -110,6 +112,8 @@ def kruskal(ids: np.ndarray, edges: list[tuple[int, int, float]]) -> list[tuple[
 FAN = 8
 #: Edges that a task gathers before it reduces them.
 GATHERED = 1 << 20
+#: Neighbours of each point in the graph that a tree begins with.
+NEAR = 16
 _EDGES = "src long, dst long, weight double"
 
 
@@ -136,38 +140,27 @@ def _reduced(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tu
     return join(held) if held else empty
 
 
-def spanning_tree(points: DataFrame, min_samples: int, *, key: str = "id", vector: str = "embedding", size: int = 512, metric: str = "euclidean", should_stop: Callable[[], bool] = lambda: False) -> DataFrame:
-    """(src, dst, weight): the minimum spanning tree of the mutual reachability graph, src < dst."""
-    cores = checkpointed(neighbours.core_distances(points, min_samples, key=key, vector=vector, metric=metric))
-    some = points.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).join(cores, "id")
-    wide = checkpointed(neighbours.packed(some.select("id", F.concat(F.array("core"), "v").alias("embedding")), size=size))
-    if should_stop():
-        raise Stopped("spanning tree")
+def reachability(points: DataFrame, min_samples: int, *, key: str = "id", vector: str = "embedding", size: int = 2 * neighbours.BLOCK, metric: str = "euclidean") -> tuple[DataFrame, DataFrame]:
+    """The graph of the nearest (src, rank, dst, dist), and (id, core, reach): no neighbour that is missing from the graph is nearer than reach."""
+    k, wide = max(1, min_samples), max(min_samples, NEAR)
+    near = checkpointed(neighbours.knn_graph(points, wide, key=key, vector=vector, metric=metric, size=size))
+    own = near.groupBy(F.col("src").alias("id")).agg(F.max(F.when(F.col("rank") <= k, F.col("dist"))).alias("core"), F.max("dist").alias("reach"), F.count("*").alias("n"))
+    every = points.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"))
+    reach = F.when(F.col("n") >= wide, F.col("reach")).otherwise(float("inf"))
+    return near, checkpointed(every.join(own, "id", "left").select("id", F.coalesce("core", F.lit(0.0)).alias("core"), reach.alias("reach")))
 
-    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                i, a = neighbours._matrix(r["ids"], r["rows"])
-                j, b = neighbours._matrix(r["ids2"], r["rows2"])
-                if r["block"] != r["block2"]:
-                    i, a = np.concatenate([i, j]), np.concatenate([a, b])
-                order = np.argsort(i, kind="stable")
-                i, a = i[order], a[order]
-                mrd = np.maximum(np.round(distances(a[:, 1:], a[:, 1:], metric), neighbours.PLACES), np.maximum(a[:, :1], a[None, :, 0]))
-                e = prim(mrd)
-                x, y = np.array([i[x] for x, _, _ in e], np.int64), np.array([i[y] for _, y, _ in e], np.int64)
-                yield np.minimum(x, y), np.maximum(x, y), np.array([w for _, _, w in e], float)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield _edge_batch(*_reduced(trees(batches)))
+def _graph_forest(near: DataFrame, cores: DataFrame, should_stop: Callable[[], bool]) -> DataFrame:
+    """(src, dst, weight): the forest of a graph of neighbours, weighted by mutual reachability."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edge_batch(*_reduced((b.column("src").to_numpy(), b.column("dst").to_numpy(), b.column("weight").to_numpy()) for b in batches))
 
-    # blocks are few rows of much work each: they are spread before they are paired
-    parts = points.sparkSession.sparkContext.defaultParallelism
-    both = wide.repartition(parts, "block").crossJoin(wide.select(F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("rows").alias("rows2"))).where("block <= block2")
-    edges, joined_up = checkpointed(both.mapInArrow(run, _EDGES).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts)))), False
+    parts = near.sparkSession.sparkContext.defaultParallelism
+    c = cores.select("id", "core")
+    both = near.join(c.toDF("src", "c1"), "src").join(c.toDF("dst", "c2"), "dst")
+    weighted = both.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.greatest("dist", "c1", "c2").alias("weight"))
+    edges, joined_up = checkpointed(weighted.mapInArrow(join, _EDGES).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts)))), False
     while parts > 1 or not joined_up:
         joined_up = True
         if should_stop():
@@ -179,6 +172,134 @@ def spanning_tree(points: DataFrame, min_samples: int, *, key: str = "id", vecto
     return edges.select("src", "dst", "weight")
 
 
+class _Least:
+    """The least edge out of each component that has rows in a block (core, component, limit, vector)."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, metric: str) -> None:
+        self.ids, self.core, self.at, self.metric = ids, rows[:, 0], rows[:, 3:], metric
+        self.part = rows[:, 1].astype(np.int32)
+        self.groups, self.first, self.group = np.unique(self.part, return_index=True, return_inverse=True)
+        n = len(self.groups)
+        self.limit = np.full(n, np.inf)
+        np.minimum.at(self.limit, self.group, rows[:, 2])
+        self.weight, self.src, self.dst = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.sieve = neighbours._Sieve(self.at) if metric == "euclidean" else None
+
+    def add(self, j: np.ndarray, rows: np.ndarray) -> None:
+        core, part, b = rows[:, 0], rows[:, 1].astype(np.int32), rows[:, 2:]
+        if len(self.groups) == 1 and (part == self.groups[0]).all():
+            return
+        # a component without a limit gets that of its first row
+        free = np.flatnonzero(np.isinf(self.limit))
+        if len(free):
+            r = self.first[free]
+            w = np.maximum(np.round(distances(self.at[r], b, self.metric), neighbours.PLACES), np.maximum(self.core[r, None], core[None, :]))
+            w[(self.part[r, None] == part[None, :]) | ~np.isfinite(w)] = np.inf
+            self.limit[free] = w.min(axis=1)
+        for x, y, d in neighbours._within(self.at, b, self.limit[self.group], self.metric, self.sieve, (self.part, part)):
+            g, w = self.group[x], np.maximum(d, np.maximum(self.core[x], core[y]))
+            s, t = np.minimum(self.ids[x], j[y]), np.maximum(self.ids[x], j[y])
+            kept = np.flatnonzero(w <= self.limit[g])
+            kept = kept[np.lexsort((t[kept], s[kept], w[kept], g[kept]))]
+            own, at = np.unique(g[kept], return_index=True)
+            w, s, t = w[kept][at], s[kept][at], t[kept][at]
+            better = (w < self.weight[own]) | ((w == self.weight[own]) & ((s < self.src[own]) | ((s == self.src[own]) & (t < self.dst[own]))))
+            own = own[better]
+            self.weight[own], self.src[own], self.dst[own] = w[better], s[better], t[better]
+            self.limit[own] = w[better]
+
+    def batch(self) -> pa.RecordBatch:
+        some = np.isfinite(self.weight)
+        return pa.RecordBatch.from_arrays([pa.array(self.groups[some].astype(np.int64)), pa.array(self.weight[some]), pa.array(self.src[some]), pa.array(self.dst[some])], ["part", "weight", "src", "dst"])
+
+
+def _least_out(wide: DataFrame, ids: np.ndarray, part: np.ndarray, limit: np.ndarray, asked: np.ndarray, size: int, metric: str) -> pa.Table:
+    """(part, e: weight, src, dst): the least edges out of the components of the points asked, no longer than their limits. wide: (id, core, v)."""
+    of = wide.sparkSession.createDataFrame(pa.table({"id": ids, "part": part.astype(np.int64), "limit": limit, "asked": asked}))
+    both = checkpointed(wide.join(of, "id"))
+    head = lambda *c: F.concat(F.array(*[F.col(x).cast("double") for x in c]), "v").alias("embedding")
+    left = checkpointed(neighbours.packed(both.where("asked").select("id", head("core", "part", "limit")), size=size))
+    right = checkpointed(neighbours.packed(both.select("id", head("core", "part")), size=neighbours.WIDE * size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, None
+        for q, i, a, _, j, b in neighbours._blocks(batches):
+            if best is None or q != block:
+                if best is not None:
+                    yield best.batch()
+                block, best = q, _Least(i, a, metric)
+            best.add(j, b)
+        if best is not None:
+            yield best.batch()
+
+    out = neighbours._beside(left, right).mapInArrow(run, "part long, weight double, src long, dst long")
+    return out.groupBy("part").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("e.src", "e.dst", "e.weight").toArrow()
+
+
+def spanning_tree(points: DataFrame, min_samples: int, *, key: str = "id", vector: str = "embedding", size: int = 2 * neighbours.BLOCK, metric: str = "euclidean", should_stop: Callable[[], bool] = lambda: False, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(src, dst, weight): the minimum spanning tree of the mutual reachability graph, src < dst; known: reachability(), if it is there."""
+    near, cores = known or reachability(points, min_samples, key=key, vector=vector, size=size, metric=metric)
+    if should_stop():
+        raise Stopped("spanning tree")
+    some = points.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    wide = checkpointed(some.join(cores.select("id", "core"), "id"))
+    held = cores.select("id", "reach").toArrow()
+    ids, first = np.unique(held["id"].to_numpy(), return_index=True)
+    reach = held["reach"].to_numpy()[first].copy()
+
+    def placed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.searchsorted(ids, t["src"].to_numpy()), np.searchsorted(ids, t["dst"].to_numpy()), t["weight"].to_numpy()
+
+    def ordered(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((b, a, w))
+        return a[order], b[order], w[order]
+
+    n, part = len(ids), np.arange(len(ids))
+    a, b, w = ordered(*placed(_graph_forest(near, cores, should_stop).toArrow()))
+    exact, tree = np.zeros(n, bool), []
+    while True:
+        live = part[a] != part[b]
+        a, b, w = a[live], b[live], w[live]
+        best, low = np.full(n, len(a)), np.full(n, np.inf)
+        for end in (a, b):
+            np.minimum.at(best, part[end], np.arange(len(a)))
+        np.minimum.at(low, part, reach)
+        own = np.flatnonzero(best < len(a))
+        limit = np.full(n, np.inf)
+        limit[own] = w[best[own]]
+        sure = own[exact[own] | (limit[own] < low[own])]
+        if len(sure):
+            edge = best[sure]
+            taken = np.unique(edge)
+            tree.append((a[taken], b[taken], w[taken]))
+            other = np.where(part[a[edge]] == sure, part[b[edge]], part[a[edge]])
+            parent = np.arange(n)
+            parent[sure] = other
+            mutual = sure[(parent[other] == sure) & (sure < other)]
+            parent[mutual] = mutual
+            while (parent != parent[parent]).any():
+                parent = parent[parent]
+            part, exact = parent[part], np.zeros(n, bool)
+            continue
+        sizes = np.bincount(part, minlength=n)
+        if (sizes > 0).sum() < 2:
+            break
+        if should_stop():
+            raise Stopped("spanning tree")
+        asked = (part != sizes.argmax()) & (reach <= limit[part])
+        found = placed(_least_out(wide, ids, part, limit[part], asked, size, metric))
+        if not len(own) and not len(found[0]):
+            break  # what is left is at no distance from the rest
+        for end in found[:2]:
+            np.minimum.at(limit, part[end], found[2])
+        reach[asked] = np.maximum(reach[asked], limit[part[asked]])
+        exact[:] = True
+        exact[sizes.argmax()] = False
+        a, b, w = ordered(*(np.concatenate(x) for x in zip((a, b, w), found, strict=True)))
+    a, b, w = (np.concatenate([np.zeros(0, x), *(t[k] for t in tree)]) for k, x in enumerate((np.int64, np.int64, float)))
+    return points.sparkSession.createDataFrame(pa.table({"src": ids[a], "dst": ids[b], "weight": w}), _EDGES)
+
+
 class Stopped(RuntimeError):
     """Training was asked to stop."""
 
@@ -186,9 +307,9 @@ class Stopped(RuntimeError):
 def minimum_spanning_tree(points: DataFrame, min_samples: int, **options: object) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
     """ids and the n - 1 edges of the tree, in the driver."""
     key = options.get("key", "id")
-    ids = np.sort(points.select(F.col(key).cast("long")).toPandas().iloc[:, 0].to_numpy())
-    e = spanning_tree(points, min_samples, **options).toPandas()
-    return ids, kruskal(ids, list(zip(e["src"].tolist(), e["dst"].tolist(), e["weight"].tolist(), strict=True)))
+    ids = np.sort(points.select(F.col(key).cast("long").alias("id")).toArrow()["id"].to_numpy())
+    e = spanning_tree(points, min_samples, **options).toArrow()
+    return ids, kruskal(ids, list(zip(*(e[c].to_pylist() for c in ("src", "dst", "weight")), strict=True)))
 
 
 def tree_statistics(edges: list[tuple[int, int, float]]) -> dict[str, float]:
@@ -371,11 +492,12 @@ class HDBSCAN:
             raise ValueError(f"min_cluster_size must be 2 or more, and the metric one of {sorted(METRICS)}")
         spark = points.sparkSession
         n, some = points.count(), self.min_samples or self.min_cluster_size
-        cores = neighbours.core_distances(points, some, key=key, vector=vector, metric=self.metric)
+        known = reachability(points, some, key=key, vector=vector, metric=self.metric)
+        cores = known[1].select("id", "core")
         if n < 2 or n < self.min_cluster_size:
             ids, label, strength, tree, nodes, edges = points.select(F.col(key).cast("long")).toPandas().iloc[:, 0].to_numpy(), np.full(n, -1), np.zeros(n), None, None, []
         else:
-            ids, edges = minimum_spanning_tree(points, some, key=key, vector=vector, metric=self.metric, should_stop=self.should_stop or (lambda: False))
+            ids, edges = minimum_spanning_tree(points, some, key=key, vector=vector, metric=self.metric, should_stop=self.should_stop or (lambda: False), known=known)
             nodes = hierarchy(n, [(int(np.searchsorted(ids, a)), int(np.searchsorted(ids, b)), w) for a, b, w in edges])
             tree = condense(nodes, self.min_cluster_size)
             label, strength = extract(n, tree, select_clusters(tree, self.method, self.allow_single, self.epsilon, self.stability))

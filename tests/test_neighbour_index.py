@@ -126,3 +126,18 @@ def test_the_sieve_loses_no_pair():
         for limit in (np.nanquantile(d[np.isfinite(d)], 0.1), np.sort(d[np.isfinite(d)])[50], 0.0):
             got = {(int(i), int(j)) for i, j, _ in (t for p in neighbours._within(a, b, np.full(40, limit), "euclidean") for t in zip(*p, strict=True))}
             assert got == set(zip(*(t.tolist() for t in np.nonzero(d <= limit)), strict=True))
+
+
+def test_spanning_tree_asks_only_where_the_graph_does_not_tell(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(60, 3)) + c for c in ([0, 0, 0], [50, 0, 0], [0, 80, 0])])
+    least, asked = hdbscan._least_out, []
+    monkeypatch.setattr(hdbscan, "_least_out", lambda *a: asked.append(int(a[4].sum())) or least(*a))
+    got = sorted((r.src, r.dst) for r in hdbscan.spanning_tree(frame(spark, x), 3, size=40).collect())
+    d = np.round(neighbours.distances(x, x), 9)
+    np.fill_diagonal(d, np.inf)
+    core = np.sort(d, axis=1)[:, 2]
+    i, j = np.triu_indices(len(x), 1)
+    kept = hdbscan.forest(i, j, np.maximum(d, np.maximum(core[:, None], core[None]))[i, j])
+    assert got == sorted(zip(i[kept].tolist(), j[kept].tolist(), strict=True))
+    assert asked == [120]  # two of the three heaps, once
