@@ -141,3 +141,12 @@ def test_spanning_tree_asks_only_where_the_graph_does_not_tell(spark, monkeypatc
     kept = hdbscan.forest(i, j, np.maximum(d, np.maximum(core[:, None], core[None]))[i, j])
     assert got == sorted(zip(i[kept].tolist(), j[kept].tolist(), strict=True))
     assert asked == [120]  # two of the three heaps, once
+
+
+def test_pairs_are_not_shuffled(spark):
+    points = frame(spark, np.random.default_rng(4).normal(size=(50, 3)))
+    found = neighbours.mutual_reachability(points, 3, size=8)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("MapInArrow") < min(plan.find(x) for x in ("Join", "CartesianProduct", "Exchange") if x in plan)
+    assert plan.count("<=") == 1  # each pair of blocks once
+    assert found.count() == 50 * 49 // 2
