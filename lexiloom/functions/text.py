@@ -70,10 +70,14 @@ def tokenize(text: Column | str, config: TokenizerConfig = TokenizerConfig()) ->
     return with_bigrams(tokens) if config.bigrams else tokens
 
 
+def bigrams(tokens: Column) -> Column:
+    """Pairs of neighbours, joined by _."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat_ws("_", a, b))
+
+
 def with_bigrams(tokens: Column) -> Column:
-    n = F.size(tokens)
-    pairs = F.zip_with(F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))), F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))
-    return F.when(n >= 2, F.concat(tokens, pairs)).otherwise(tokens)
+    return F.when(F.size(tokens) >= 2, F.concat(tokens, bigrams(tokens))).otherwise(tokens)
 
 
 def unique_tokens(text: Column | str, config: TokenizerConfig = TokenizerConfig()) -> Column:

@@ -21,6 +21,23 @@ def term_frequencies(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+#: Tokens that a task of known_frequencies() counts, so that its memory doesn't grow with the table.
+TOKENS = 2_000_000
+
+
+def known_frequencies(tokens: DataFrame, max_df: float, key: str = "doc_id") -> DataFrame:
+    """term_frequencies() of the terms in at most the share max_df of the rows (but one always).
+
+    Rows are moved whole, by key, and counted where they are. The terms left out are few, at most the mean number
+    of distinct terms of a row over max_df, so that these are broadcast, not the others joined.
+    """
+    n, total = tokens.agg(F.count("*"), F.sum(F.size("tokens"))).first()
+    often = term_counts(tokens).where(F.col("df") > max(1, math.floor(n * max_df))).select("term")
+    parts = max(tokens.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // TOKENS))
+    counts = term_frequencies(tokens.select(key, "tokens").repartition(parts, key), key)
+    return counts.join(F.broadcast(often), "term", "left_anti").select(key, "term", "tf")
+
+
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(term, df, tf): in how many rows a term is, and how often. Both are summed before the one shuffle, which is by term."""
     every = tokens.select(F.explode("tokens").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("t"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.functions import text
 from lexiloom.operators import assignment, coherence, matching, neighbours, vocabulary
 from lexiloom.operators.coherence import CoherenceConfig
 
@@ -180,3 +181,17 @@ def test_merging(spark):
     assert [r.term for r in matching.union_reranked(x, y, 3).orderBy("rank").collect()] == ["c", "b", "a"]
     assert [r.term for r in matching.existing_first(x, y, 3).orderBy("rank").collect()] == ["a", "b", "c"]
     assert matching.vocabulary_union(x, y).count() == 3
+
+
+def test_known_frequencies_move_whole_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ["all", f"w{i}", "all", "odd" if i % 2 else "even"]) for i in range(40)] + [(1, ["odd", "w1"]), (50, [])], "doc_id long, tokens array<string>")
+    want = vocabulary.term_frequencies(docs).join(vocabulary.vocabulary_terms(docs, max_df=0.7).select("term"), "term", "left_semi").select("doc_id", "term", "tf")
+    monkeypatch.setattr(vocabulary, "TOKENS", 20)
+    got = vocabulary.known_frequencies(docs, 0.7)
+    assert sorted(got.collect()) == sorted(want.collect()) and "all" not in {r.term for r in got.collect()}
+    assert got.rdd.getNumPartitions() == 9  # 162 tokens
+
+
+def test_bigrams_alone(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(text.bigrams(F.col("t"))).collect()] == [["a_b", "b_c"], [], [], None]
